@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -61,14 +62,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/brightwell-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", reclaim: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike a local checkpoint this survives the loss of any executor.
+    Unlike a local checkpoint this survives the loss of any executor.  ``reclaim``, for jobs with
+    large shuffles, lets the driver's collector find at once that nothing uses their files.
     """
-    path = f"{scratch_dir(df.sparkSession)}-{name}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if reclaim:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None) -> DataFrame:

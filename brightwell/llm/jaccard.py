@@ -37,6 +37,8 @@ WIDTH = 5
 PERCENT = 75
 #: Rounds of min-hash grouping; more rounds make fewer, larger groups, the result is the same.
 ROUNDS = 3
+#: A ``1 / MORE`` of a set beyond what may miss goes into its prefix: more rows, but fewer classes that pass by chance.
+MORE = 5
 #: Pairs of one leader that are verified in one task.
 LEADER_PAIRS = 500
 #: Classes that a task of the prefix scan remembers, to emit copies only once.
@@ -81,8 +83,8 @@ def need(n: int) -> int:
 
 
 def prefix(n: int) -> int:
-    """First tokens in which a link must show: what may miss, and a tenth more (``sharing`` counts those)."""
-    return min(n, n - need(n) + max(1, n // 10))
+    """First tokens in which a link must show: those that may miss, and a fifth more, which ``sharing`` counts."""
+    return min(n, n - need(n) + max(1, n // MORE))
 
 
 def _need(n: Column) -> Column:
@@ -130,7 +132,7 @@ def sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
     every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = prefix_rows(docs).select("h", F.lag("h").over(w).alias("before"), F.min("h").over(every).alias("lo"), F.max("h").over(every).alias("hi"))
     shared = rows.filter("lo <> hi and (before is null or before <> h)").groupBy("h").agg(F.count("*").alias("shared"))
-    enough = F.greatest(F.lit(1), F.floor(_need(F.col("n")) / 10))
+    enough = F.greatest(F.lit(1), F.floor(_need(F.col("n")) / MORE))
     return classes.join(shared, classes.k1 == shared.h).filter(F.col("shared") >= enough).select("id", "k1", "k2")
 
 
@@ -203,11 +205,11 @@ def grouped(sets: DataFrame) -> DataFrame:
 
 def across(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Verified links between different components, through the token-group matrix."""
-    member = sets.select("id", "n", "toks").join(labels, "id", "left").withColumn("g", F.coalesce("component", "id"))
-    toks = member.select("id", "n", "g", F.explode("toks").alias("tok"))
-    several = toks.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("df")).filter("lo <> hi").select("tok", "df")
-    several = common.written(several, "matrix")
-    cross = toks.join(several, "tok")
+    member = sets.select("id", "toks").join(labels, "id", "left").withColumn("g", F.coalesce("component", "id"))
+    w = W.partitionBy("tok")
+    toks = member.select("id", "g", F.explode("toks").alias("tok"))
+    toks = toks.select("id", "g", "tok", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi"), F.count("*").over(w).alias("df"))
+    cross = common.written(toks.filter("lo <> hi").select("id", "g", "tok", "df"), "matrix", reclaim=True).join(sets.select("id", "n"), "id")
     able = cross.groupBy("id", "n", "g").agg(F.count("*").alias("inside")).filter(F.col("inside") >= _need(F.col("n")))
     rows = common.written(cross.join(able.select("id", "inside"), "id").select("id", "n", "g", "tok", "df", "inside"), "able")
     # the tokens outside the matrix are the rarest, so they take the first places of the prefix
@@ -242,7 +244,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = keys.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
     classes = common.written(classes, "classes")
     distinct_ids = keys.groupBy("doc_id").count().filter("count > 1").isEmpty() and classes.groupBy("id").count().filter("count > 1").isEmpty()
-    some = common.written(sharing(docs, classes), "sharing")
+    some = common.written(sharing(docs, classes), "sharing", reclaim=True)
     sets = sets_of(docs, some, distinct_ids)
     links = grouped(sets)
     near = components(links)
