@@ -204,30 +204,37 @@ def grouped(sets: DataFrame) -> DataFrame:
 
 
 def across(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Verified links between different components, through the token-group matrix."""
+    """Verified links between different components, through the token-group matrix.
+
+    Tokens with the same posting list (those of a passage that many texts share) are one column of
+    the matrix, with their number as its weight: nothing is lost and a pair meets once a passage.
+    """
     member = sets.select("id", "toks").join(labels, "id", "left").withColumn("g", F.coalesce("component", "id"))
     w = W.partitionBy("tok")
     toks = member.select("id", "g", F.explode("toks").alias("tok"))
-    toks = toks.select("id", "g", "tok", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi"), F.count("*").over(w).alias("df"))
-    cross = common.written(toks.filter("lo <> hi").select("id", "g", "tok", "df"), "matrix", reclaim=True).join(sets.select("id", "n"), "id")
-    able = cross.groupBy("id", "n", "g").agg(F.count("*").alias("inside")).filter(F.col("inside") >= _need(F.col("n")))
-    rows = common.written(cross.join(able.select("id", "inside"), "id").select("id", "n", "g", "tok", "df", "inside"), "able")
-    # the tokens outside the matrix are the rarest, so they take the first places of the prefix
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "tok"))
-    first = rows.withColumn("place", place).filter(F.col("place") <= F.col("n") - _need(F.col("n")) + 1 - (F.col("n") - F.col("inside")))
-    first = common.written(first.select("id", "n", "g", "tok"), "first")
-    union = rows.groupBy("tok", "g").agg(F.min("n").alias("least"))
-    entry = first.groupBy("tok", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    q = first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "tok")
-    fits = (F.col("most") * 100 >= F.col("na") * PERCENT) & (F.col("least") * PERCENT <= F.col("na") * 100)
-    seen = q.join(entry, "tok").filter((F.col("ga") < F.col("g")) & fits).groupBy("a", "na", "g").agg(F.min("least").alias("least"))
-    overlap = seen.join(rows.select(F.col("id").alias("a"), "tok"), "a").join(union.select("tok", "g"), ["tok", "g"]).groupBy("a", "g").agg(F.count("*").alias("bound"))
-    # a link of sizes x and y has 75 / 175 of x + y in common at least
-    open_ = seen.join(overlap, ["a", "g"]).filter((F.col("bound") >= _need(F.col("na"))) & (F.col("bound") * (100 + PERCENT) >= (F.col("na") + F.col("least")) * PERCENT))
-    inside = first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g", "tok")
-    pairs = q.join(open_.select("a", "g"), "a").join(inside, ["g", "tok"])
-    pairs = pairs.filter((F.col("nb") * 100 >= F.col("na") * PERCENT) & (F.col("nb") * PERCENT <= F.col("na") * 100)).select("a", "b").distinct()
-    return verified(pairs, sets)
+    toks = toks.select("id", "g", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi"), F.count("*").over(w).alias("df"), F.bit_xor(F.xxhash64("id")).over(w).alias("posting"))
+    cross = toks.filter("lo <> hi").groupBy("id", "g", "df", F.xxhash64("df", "posting").alias("col")).agg(F.count("*").alias("weight"))
+    cross = common.written(cross, "matrix", reclaim=True).join(sets.select("id", "n"), "id")
+    able = cross.groupBy("id").agg(F.sum("weight").alias("inside"), F.first("n").alias("n")).filter(F.col("inside") >= _need(F.col("n"))).select("id", "inside")
+    # the tokens outside the matrix are the rarest, so they come first; "rest" are those from a column on
+    earlier = F.coalesce(F.sum("weight").over(W.partitionBy("id").orderBy("df", "col").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = cross.join(able, "id").withColumn("rest", F.col("inside") - earlier).select("id", "n", "g", "col", "weight", "rest")
+    rows = common.written(rows, "able")
+    first = rows.filter(F.col("rest") >= _need(F.col("n"))).select("id", "n", "g", "col", "rest")
+    union = rows.select("col", "g").distinct()
+    entry = first.groupBy("col", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest_g"))
+    q = first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "col", F.col("rest").alias("rest_a"))
+    # a link of sizes x and y has 75 / 175 of x + y in common at least, all of it from its first common column on
+    enough = lambda tokens, other: F.col(tokens) * (100 + PERCENT) >= (F.col("na") + F.col(other)) * PERCENT
+    fits = (F.col("most") * 100 >= F.col("na") * PERCENT) & (F.col("least") * PERCENT <= F.col("na") * 100) & enough("rest_a", "least") & enough("rest_g", "least")
+    seen = q.join(entry, "col").filter((F.col("ga") < F.col("g")) & fits).groupBy("a", "na", "g").agg(F.min("least").alias("least"))
+    seen = common.written(seen, "seen")
+    overlap = seen.join(rows.select(F.col("id").alias("a"), "col", "weight"), "a").join(union, ["col", "g"]).groupBy("a", "na", "g", "least").agg(F.sum("weight").alias("bound"))
+    open_ = overlap.filter((F.col("bound") >= _need(F.col("na"))) & enough("bound", "least")).select("a", "g")
+    inside = first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g", "col", F.col("rest").alias("rest_b"))
+    pairs = q.join(open_, "a").join(inside, ["g", "col"])
+    pairs = pairs.filter((F.col("nb") * 100 >= F.col("na") * PERCENT) & (F.col("nb") * PERCENT <= F.col("na") * 100) & enough("rest_a", "nb") & enough("rest_b", "nb"))
+    return verified(common.written(pairs.select("a", "b").distinct(), "pairs"), sets)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
