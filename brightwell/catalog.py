@@ -100,7 +100,8 @@ def route_questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "benchmark").select("item_id", T.route(F.col("text")).alias("route"))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_ARTICLE = r"'(^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:a|an|the)([^\p{{L}}\p{{M}}\p{{N}}_]|$)', '\1 \2', 'g'"
+_NORM = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({{0}}), '[!-/:-@\[-`{{{{-~]', '', 'g'), {_ARTICLE}), {_ARTICLE}), '\s+', ' ', 'g'))"
 
 
 @query(rf"""WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole FROM conversations),
@@ -323,8 +324,7 @@ def threshold_select(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, ord) AS rs, row_number() OVER (PARTITION BY qid ORDER BY graph DESC, ord) AS rg, count(*) OVER (PARTITION BY qid) AS n FROM c),
-g AS (SELECT qid, 1 - count(*) FILTER (rs <= 3 AND rg <= 3) / count(*) FILTER (rs <= 3 OR rg <= 3)::DOUBLE AS disagreement, max(semantic) AS best, sum(semantic) FILTER (rs <= 2) / count(*) FILTER (rs <= 2) AS top2,
-max(graph) - max(graph) FILTER (rg = n // 2 + 1) AS peak, max(CASE WHEN rs = 1 AND hop <> 0 THEN 1.0 ELSE 0.0 END) AS seed_miss FROM r GROUP BY qid), m AS (SELECT *, round(0.5 * disagreement + 0.3 * (1 - best) + 0.2 * seed_miss, 9) AS need FROM g)
+g AS MATERIALIZED (SELECT qid, 1 - sum((rs <= 3 AND rg <= 3)::INT) / sum((rs <= 3 OR rg <= 3)::INT)::DOUBLE AS disagreement, max(semantic) AS best, max(CASE WHEN rs = 1 AND hop <> 0 THEN 1.0 ELSE 0.0 END) AS seed_miss FROM r GROUP BY qid), m AS (SELECT *, round(0.5 * disagreement + 0.3 * (1 - best) + 0.2 * seed_miss, 9) AS need FROM g)
 SELECT qid, round(need, 6) AS need, CASE WHEN need >= 0.36 THEN 0.2 ELSE 0.6 END::DOUBLE AS alpha_switch, round(greatest(0.1, least(0.9, 0.6 - need)), 6)::DOUBLE AS alpha_continuous FROM m""")
 def need_graph_alpha(s: SparkSession, d: str) -> DataFrame:
     n = fusion.need_graph(fusion.signals(line_view(s, d), 3))

@@ -69,7 +69,7 @@ def route(c: Column, relation: str = RELATION) -> Column:
 
 def normalize_answer(c: Column) -> Column:
     bare = F.regexp_replace(F.lower(c), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<![\p{L}\p{M}\p{N}_])(?:a|an|the)(?![\p{L}\p{M}\p{N}_])", " "), r"\s+", " "))
 
 
 def answer_scores(prediction: Column, gold: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Iterator
+from itertools import groupby, product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,12 +63,19 @@ def solve(options: list[list[tuple[float, float, str]]], budget: float, states:
 
 def witnesses(kept: DataFrame, budget: float) -> DataFrame:
     """``qid, error, cost, keys`` by exact search within each question (``kept``: qid, claim, key, cost, confidence)."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = [list(zip(g.cost, g.confidence, g.key, strict=True)) for _, g in pdf.sort_values(["claim", "confidence", "key"]).groupby("claim")]
-        error, pick = solve(groups, budget)
-        chosen = [groups[i][k] for i, k in enumerate(pick)]
-        return pd.DataFrame({"qid": [pdf.qid.iloc[0]], "error": [error], "cost": [float(sum({k: c for c, _, k in chosen}.values()))], "keys": [",".join(k for _, _, k in chosen)]})
-
-    return kept.groupBy("qid").applyInPandas(run, "qid bigint, error string, cost double, keys string")
+    lists = kept.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("claim").cast("string").alias("claim"), F.col("confidence").cast("double").alias("confidence"), "key", F.col("cost").cast("double").alias("cost")))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {"error": [], "cost": [], "keys": []}
+            for rows in b.column(1).to_pylist():
+                groups = [[(r["cost"], r["confidence"], r["key"]) for r in g] for _, g in groupby(rows, key=lambda r: r["claim"])]
+                error, pick = solve(groups, budget)
+                chosen = [groups[i][k] for i, k in enumerate(pick)]
+                out["error"].append(error)
+                out["cost"].append(float(sum({k: c for c, _, k in chosen}.values())))
+                out["keys"].append(",".join(k for _, _, k in chosen))
+            kinds = {"error": pa.string(), "cost": pa.float64(), "keys": pa.string()}
+            yield pa.RecordBatch.from_pydict({"qid": pa.array(b.column(0).to_pylist(), pa.int64())} | {n: pa.array(v, kinds[n]) for n, v in out.items()})
+
+    return lists.select(F.col("qid").cast("bigint").alias("qid"), "rows").mapInArrow(run, "qid bigint, error string, cost double, keys string")

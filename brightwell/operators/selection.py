@@ -7,9 +7,9 @@ hundred rows).  Candidates are ``qid, ord, title, cost, semantic, graph, ...``;
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -159,12 +159,21 @@ def mass_fold(c: DataFrame, alpha: float, budget: int, mass: float, temperature:
 
 
 def _grouped(c: DataFrame, pick: Callable[[list[dict]], list[int]]) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ord").to_dict("records")
-        sel = pick(rows)
-        return pd.DataFrame({"qid": [rows[0]["qid"]], "used": [int(sum(rows[i]["cost"] for i in sel))], "selected": [",".join(str(int(rows[i]["ord"])) for i in sel)]})
-
-    return c.groupBy("qid").applyInPandas(run, "qid bigint, used bigint, selected string")
+    """One array of candidates in ``ord`` order for each question, then plain Python over Arrow batches of questions."""
+    rest = [n for n in c.columns if n not in ("qid", "ord")]
+    lists = c.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*rest).alias("x")))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            qids, used, selected = b.column(0).to_pylist(), [], []
+            for group in b.column(1).to_pylist():
+                rows = [{"ord": r["ord"], **r["x"]} for r in group]
+                sel = pick(rows)
+                used.append(int(sum(rows[i]["cost"] for i in sel)))
+                selected.append(",".join(str(rows[i]["ord"]) for i in sel))
+            yield pa.RecordBatch.from_pydict({"qid": pa.array(qids, pa.int64()), "used": pa.array(used, pa.int64()), "selected": pa.array(selected, pa.string())})
+
+    return lists.select(F.col("qid").cast("bigint").alias("qid"), "rows").mapInArrow(run, "qid bigint, used bigint, selected string")
 
 
 def mmr_pick(rows: list[dict], budget: int, trade: float = 0.7) -> list[int]:
