@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Words in each of a worker's two cache generations; the older is dropped when the newer is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Longer words are not cached.
 CACHE_CHARS = 64
 END = "</w>"
