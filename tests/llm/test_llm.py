@@ -137,7 +137,7 @@ def test_winnowing_guarantee(spark):
 
 
 def test_mixing_marginals():
-    cells = [("a", "en", "p", 900.0), ("a", "fr", "p", 100.0), ("b", "en", "q", 50.0), ("b", "fr", "q", 200.0)]
+    cells = [("a", "en", "p", 900.0), ("a", "fr", "p", 100.0), ("b", "en", "p", 50.0), ("b", "fr", "p", 200.0)]
     p = mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "fr": 0.5}}, 0.2)
     kept = [x * c[3] for x, c in zip(p, cells, strict=True)]
     assert abs(sum(kept) - 250) < 1e-6 and abs(kept[0] + kept[1] - 125) < 1 and abs(kept[0] + kept[2] - 125) < 1
