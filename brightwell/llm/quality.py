@@ -51,10 +51,10 @@ class Rules:
     min_tokens: int = 100
     bands: dict[str, Band] = field(
         default_factory=lambda: {
-            "de": Band((1.95, 2.60), (1.9, 2.95)),
-            "en": Band((1.80, 2.60), (1.8, 2.80)),
-            "es": Band((1.75, 2.30), (2.0, 3.05)),
-            "fr": Band((1.70, 2.35), (1.9, 3.15)),
+            "de": Band((1.95, 6.5), (1.0, 2.95)),
+            "en": Band((1.80, 6.5), (1.0, 2.80)),
+            "es": Band((1.75, 6.5), (1.0, 3.05)),
+            "fr": Band((1.70, 6.5), (1.0, 3.15)),
         }
     )
     default: Band = Band((0.8, 6.0), (0.8, 12.0), 0.6, 4.0)
