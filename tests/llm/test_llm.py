@@ -146,7 +146,12 @@ def test_mixing_marginals():
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(6)
-    text = lambda: " ".join(rng.choice("the river runs under old stone bridges while children watch boats drift slowly toward evening light and quiet harbour towns".split()) + rng.choice(["", "s", "ly"]) for _ in range(150))
+    vocabulary = """time year people way day man thing woman life child world school state family student group country problem hand part
+        place case week company system program question work government number night point home water room mother area money story fact month lot right study book
+        eye job word business issue side kind head house service friend father power hour game line end member law car city community name president team minute
+        idea body information back parent face others level office door health person art war history party result change morning reason research girl guy moment
+        air teacher force education foot boy age policy music market sense nation plan college interest death experience effect use class control""".split()
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(150))
     rows = [(i, text(), "en", f"s{i % 2}", 1) for i in range(30)]
     rows += [(40, rows[3][1], "en", "s0", 1), (41, "short", "en", "s0", 1), (42, text() + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "en", "s1", 1)]
     path = tmp_path / "documents.parquet"
