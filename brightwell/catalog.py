@@ -325,11 +325,11 @@ def threshold_select(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, ord) AS rs, row_number() OVER (PARTITION BY qid ORDER BY graph DESC, ord) AS rg, count(*) OVER (PARTITION BY qid) AS n FROM c),
 g AS MATERIALIZED (SELECT qid, 1 - sum((rs <= 3 AND rg <= 3)::INT) / sum((rs <= 3 OR rg <= 3)::INT)::DOUBLE AS disagreement, max(semantic) AS best, max(CASE WHEN rs = 1 AND hop <> 0 THEN 1.0 ELSE 0.0 END) AS seed_miss FROM r GROUP BY qid), m AS (SELECT *, round(0.5 * disagreement + 0.3 * (1 - best) + 0.2 * seed_miss, 9) AS need FROM g)
-SELECT qid, round(need, 6) AS need, CASE WHEN need >= 0.36 THEN 0.2 ELSE 0.6 END::DOUBLE AS alpha_switch, round(greatest(0.1, least(0.9, 0.6 - need)), 6)::DOUBLE AS alpha_continuous FROM m""")
+SELECT qid, round(need, 8) AS need, CASE WHEN need >= 0.36 THEN 0.2 ELSE 0.6 END::DOUBLE AS alpha_switch, round(greatest(0.1, least(0.9, 0.6 - need)), 8)::DOUBLE AS alpha_continuous FROM m""")
 def need_graph_alpha(s: SparkSession, d: str) -> DataFrame:
     n = fusion.need_graph(fusion.signals(line_view(s, d), 3))
     n = n.withColumn("need", F.round("need", 9))
-    return n.select("qid", F.round("need", 6).alias("need"), F.when(F.col("need") >= 0.36, 0.2).otherwise(0.6).alias("alpha_switch"), F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), 0.6 - F.col("need"))), 6).alias("alpha_continuous"))
+    return n.select("qid", F.round("need", 8).alias("need"), F.when(F.col("need") >= 0.36, 0.2).otherwise(0.6).alias("alpha_switch"), F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), 0.6 - F.col("need"))), 8).alias("alpha_continuous"))
 
 
 # folds
