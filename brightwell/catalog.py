@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import certify, context, fusion, graph, metrics, selection
-from .plans import methods
-from .sources import multihop
+from .operators import certify, context, fusion, graph, metrics, prompts, selection, verify
+from .plans import methods, sweeps
+from .sources import multihop, reports
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -547,3 +547,77 @@ def witness_solve(s: SparkSession, d: str) -> DataFrame:
 def quote_projection(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").withColumn("ws", F.split("text", " "))
     return t.select("doc_id", F.md5(T.project_quote(F.col("text"), F.concat_ws(" ", F.element_at("ws", 1), F.element_at("ws", -1)))).alias("span"), T.canonical_key(F.col("source")).alias("key"))
+
+
+# judgments, prompts, sweeps and reports
+
+TASKS = """t AS (SELECT l_orderkey AS qid, l_linenumber AS claim, l_partkey::VARCHAR AS task_id, l_quantity::BIGINT AS kind, l_suppkey FROM lineitem)"""
+
+
+def payloads(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A judgment of each line item as JSON, some of them wrong in one way or another, and the tasks asked for."""
+    t = table(s, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("claim"), F.col("l_partkey").cast("string").alias("task_id"), F.col("l_quantity").cast("bigint").alias("kind"), "l_suppkey")
+    label = F.when(F.col("kind") % 11 == 3, "maybe").when(F.col("kind") % 3 == 0, "not_entailed").otherwise("entailed")
+    confidence = F.when(F.col("kind") % 13 == 5, "true").when(F.col("kind") % 17 == 6, "1.5").otherwise("0.75")
+    bindings = F.when(F.col("kind") % 3 == 0, "{}").otherwise(F.concat(F.lit('{"?a":"v'), F.col("l_suppkey").cast("string"), F.lit('"}')))
+    body = F.concat(F.lit('{"judgments":[{"task_id":"'), F.when(F.col("kind") == 7, "x").otherwise(F.col("task_id")), F.lit('","label":"'), label, F.lit('","confidence":'), confidence, F.lit(',"bindings":'), bindings, F.when(F.col("kind") == 9, ',"note":1').otherwise(""), F.lit("}]}"))
+    return t.select("qid", "claim", body.alias("payload")), t.select("qid", "claim", "task_id")
+
+
+@query(f"""WITH {TASKS}, k AS (SELECT *, kind % 11 = 3 OR kind % 13 = 5 OR kind % 17 = 6 OR kind IN (7, 9) OR count(*) OVER (PARTITION BY qid, claim, task_id) > 1 AS wrong FROM t),
+g AS (SELECT *, bool_or(wrong) OVER (PARTITION BY qid, claim) AS bad, row_number() OVER (PARTITION BY qid, claim) AS place FROM k)
+SELECT qid, claim, CASE WHEN NOT bad THEN task_id END AS task_id, CASE WHEN bad THEN NULL WHEN kind % 3 = 0 THEN 'not_entailed' ELSE 'entailed' END AS label, CASE WHEN NOT bad THEN 0.75::DOUBLE END AS confidence,
+CASE WHEN NOT bad AND kind % 3 <> 0 THEN 'v' || l_suppkey END AS binding, CASE WHEN bad THEN 'claim_verification_invalid' END AS error FROM g WHERE NOT bad OR place = 1""")
+def claim_judgments(s: SparkSession, d: str) -> DataFrame:
+    j = verify.judgments(*payloads(s, d))
+    return j.select("qid", "claim", "task_id", "label", "confidence", F.try_element_at("bindings", F.lit("?a")).alias("binding"), "error")
+
+
+@query("""SELECT l_orderkey AS qid, l_linenumber AS claim, CASE WHEN q % 7 = 0 THEN 'variables' WHEN q % 7 = 1 THEN 'constraint' WHEN q % 7 = 2 THEN 'forbidden' WHEN q % 7 = 3 THEN 'surface' END AS reason
+FROM (SELECT *, l_quantity::BIGINT AS q FROM lineitem)""")
+def claim_rejects(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "lineitem").withColumn("q", F.col("l_quantity").cast("bigint") % 7)
+    key, value = F.when(F.col("q") == 0, "?z").otherwise("?a"), F.when(F.col("q") == 2, "Not  Stated").when(F.col("q") == 3, "absentee").otherwise("truck")
+    fixed = F.when(F.col("q") == 1, F.create_map(F.lit("?a"), F.lit("other"))).otherwise(F.create_map().cast("map<string,string>"))
+    one = lambda v: F.array(F.lit(v))
+    none = F.array().cast("array<string>")
+    surface = F.concat(F.lit("sent by "), value)
+    reason = verify.grounding_reject(F.create_map(key, value), one("?a"), fixed, none, one("Title"), none, F.when(F.col("q") == 3, "sent by train").otherwise(surface), surface, F.lit(""))
+    return t.select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("claim"), reason.alias("reason"))
+
+
+@query(f"""WITH r AS (SELECT item_id AS qid, text AS question, CASE WHEN item_id % 3 = 0 THEN '{{"claims":' || item_id || '}}' END AS cert, CASE item_id % 2 WHEN 0 THEN 'chained_reasoning' ELSE 'direct_comparison' END AS route FROM benchmark)
+SELECT qid, md5($p${prompts.OPENING}$p$ || CASE WHEN cert IS NULL THEN $p${prompts.SHORT}$p$ ELSE $p${prompts.CERTIFIED}$p$ END || CASE route WHEN 'chained_reasoning' THEN $p${prompts.HINTS["chained_reasoning"]}$p$ ELSE $p${prompts.HINTS["direct_comparison"]}$p$ END
+|| coalesce($p${prompts.CONTRACT}$p$ || cert || chr(10) || chr(10), '') || 'Context:' || chr(10) || 'c' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:') AS prompt FROM r""")
+def prompt_build(s: SparkSession, d: str) -> DataFrame:
+    q = questions(s, d)
+    cert = F.when(F.col("qid") % 3 == 0, F.concat(F.lit('{"claims":'), F.col("qid").cast("string"), F.lit("}")))
+    route = F.when(F.col("qid") % 2 == 0, "chained_reasoning").otherwise("direct_comparison")
+    return q.select("qid", F.md5(prompts.prompt(F.col("question"), F.lit("c"), route, cert)).alias("prompt"))
+
+
+CONFIG = {"methods": [{"name": "dense", "kind": "dense", "budget_tokens": [100, 200], "top_k": 50}, {"name": "blend", "kind": "selective_graph", "alpha": [0.4, 0.6, 1.0], "budget_tokens": [200, 600]}]}
+
+
+@query("""SELECT o_orderkey AS qid, method, alpha::DOUBLE AS alpha, budget_tokens::BIGINT AS budget_tokens, top_k::BIGINT AS top_k, NULL::DOUBLE AS graph_rescue_weight FROM orders, (VALUES ('dense', NULL, 100, 50), ('dense', NULL, 200, 50),
+('blend', 0.4, 200, NULL), ('blend', 0.4, 600, NULL), ('blend', 0.6, 200, NULL), ('blend', 0.6, 600, NULL), ('blend', 1.0, 200, NULL), ('blend', 1.0, 600, NULL)) v(method, alpha, budget_tokens, top_k)""")
+def expected_rows(s: SparkSession, d: str) -> DataFrame:
+    return sweeps.expected(table(s, d, "orders").select(F.col("o_orderkey").alias("qid")), CONFIG)
+
+
+@query("SELECT o_orderpriority AS qtype, o_orderstatus AS error, count(*)::BIGINT AS n, grouping(o_orderpriority)::BIGINT AS overall FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority, o_orderstatus))")
+def error_histogram(s: SparkSession, d: str) -> DataFrame:
+    return metrics.error_histogram(table(s, d, "orders").select(F.col("o_orderpriority").alias("qtype"), F.col("o_orderstatus").alias("error")))
+
+
+@query("SELECT event_type AS method, round(sum(CASE WHEN value > 50 THEN value ELSE 0 END) / count(*), 6) AS value, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def means_null_as_zero(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select(F.col("event_type").alias("method"), F.when(F.col("value") > 50, F.col("value")).alias("value"))
+    return metrics.group_means(e, ["method"], ["value"], null_as_zero=True).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS method, round(avg(l_quantity), 3) AS cost, round(avg(l_extendedprice), 2) AS gain FROM lineitem GROUP BY 1)
+SELECT method, cost, gain, gain >= max(gain) OVER (ORDER BY cost RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS frontier FROM p""")
+def trade_off_points(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("method")).agg(F.round(F.avg("l_quantity"), 3).alias("cost"), F.round(F.avg("l_extendedprice"), 2).alias("gain"))
+    return reports.trade_off(p, "cost", "gain")

@@ -66,3 +66,9 @@ def need_bucket(gold: Column, semantic: Column, graph: Column) -> Column:
 def first_use(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Marks all but the first row of equal prompts as reused."""
     return df.withColumn("reused", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) > 1)
+
+
+def error_histogram(rows: DataFrame) -> DataFrame:
+    """Rows by error code, overall (``overall`` 1, qtype null) and by question type; null codes are rows without an error."""
+    sets = rows.groupingSets([[F.col("error")], [F.col("qtype"), F.col("error")]], "qtype", "error")
+    return sets.agg(F.count("*").alias("n"), F.grouping("qtype").cast("bigint").alias("overall"))
