@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TRAIN = 2000
+#: Rows of a language drawn by hash for each row of its part of the sample, and the number of hashes.
+DRAWN, HASHES = 4, 1 << 40
 BUCKETS = 4096
 #: Least softmax share of the best language below which a text counts as ambiguous.
 CLEAR = 0.9
@@ -96,11 +98,15 @@ class Codes:
 def fit(docs: DataFrame) -> Codes | None:
     """Fit on rows of ``docs`` that are not held out and have a language and a text; None without any."""
     able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = able.select("lang").distinct().count()
+    sizes = common.written(able.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
+    n = sizes.count()
     if not n:
         return None
+    most = max(1, MAX_TRAIN // n)
+    # a share of the hashes, so that a language's window gets about DRAWN * most rows however many it has
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.lit(DRAWN * most * HASHES).cast("double") / F.col("size")
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = able.select("doc_id", "lang").withColumn("place", first).filter(F.col("place") <= max(1, MAX_TRAIN // n)).select("doc_id").distinct()
+    ids = common.joined(able.select("doc_id", "lang"), sizes, "lang", rows=n).filter(drawn).withColumn("place", first).filter(F.col("place") <= most).select("doc_id").distinct()
     some = common.joined(able.select("doc_id", "text", "lang"), common.written(ids, "sample"), "doc_id", "left_semi")
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
