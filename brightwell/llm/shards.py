@@ -122,7 +122,6 @@ def write_shards(docs: DataFrame, out_dir: str, path: str | None = None, key: in
 
     parts = common.map_rows(rows.select("doc_id", "text", "offset"), pieces, "shard bigint, slot bigint, sequence bigint, start int, doc_id bigint, ids binary")
     parts = parts.repartition(max(1, min(-(-n // SHARD), 100_000)), "shard").sortWithinPartitions("shard", "slot", "start")
-    parts = parts.dropDuplicates(["slot", "start"]) if docs.count() > offsets.count() else parts
 
     def write(batches: Iterator[dict]) -> Iterator[list]:
         from pyarrow import fs
@@ -147,10 +146,14 @@ def write_shards(docs: DataFrame, out_dir: str, path: str | None = None, key: in
             return slot, sequence, shard, slot % SHARD * LENGTH * 2, len(ids) // 2, hashlib.sha256(full).hexdigest(), first, last
 
         now: tuple | None = None
+        last: tuple | None = None
         parts: list[bytes] = []
         for b in batches:
             rows = []
-            for slot, sequence, doc, ids in zip(b["slot"], b["sequence"], b["doc_id"], b["ids"], strict=True):
+            for slot, sequence, start, doc, ids in zip(b["slot"], b["sequence"], b["start"], b["doc_id"], b["ids"], strict=True):
+                if (slot, start) == last:  # the sort puts a repeated row's pieces side by side
+                    continue
+                last = slot, start
                 if now is None or now[0] != slot:
                     if now is not None:
                         rows.append(record(now[0], now[1], b"".join(parts), now[2], now[3]))

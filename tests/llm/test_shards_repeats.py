@@ -1,0 +1,27 @@
+import random
+
+import numpy as np
+
+from brightwell.llm import bpe, shards
+
+
+def test_repeated_rows_over_many_shuffle_partitions(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(16_000))) for i in range(30)]  # over one shard of tokens
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = f"file://{tmp_path}/s"
+        found = shards.write_shards(spark.createDataFrame(rows + rows[:7] + rows[:2], "doc_id bigint, text string"), out).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    own, stream = bpe.encoder(bpe.default_vocabulary()), []
+    for _, t in rows:
+        stream += np.frombuffer(own.encode_bytes(t), "<u4").tolist() + [shards.END]
+    n = -(-len(stream) // shards.LENGTH)
+    assert n > shards.SHARD and sorted(r.slot for r in found) == list(range(n))
+    full = np.array(stream + [shards.END] * (n * shards.LENGTH - len(stream)), "<u2").reshape(n, -1)
+    order = shards.feistel(np.arange(n), n, inverse=True)
+    assert all((a == full[order[s]]).all() for s, a in enumerate(shards.read_slots(out, 0, n)))
