@@ -28,8 +28,8 @@ MIN_CHARS = 16
 MAX_FINDINGS = 4000
 CONTEXT = 48
 LONG = re.compile(r"[A-Za-z0-9+/_\-.=]{16,}")
-NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,16}[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"']{8,200})")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,8000}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,16}[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"']{8,})")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s+[A-Za-z][A-Za-z-]*:(?:(?!-----)[^\r\n])*)*[A-Za-z0-9+/=\s\\]+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
 NAMES = ("passw", "pwd", "secret", "token", "key", "auth")
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9\-_]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{10,}\.)")
 GOOD_WORDS = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key|auth|credential|bearer|private")
@@ -229,9 +229,14 @@ def redact(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = N
         for b in batches:
             texts = b.column(at).to_pylist()
             for i, found in enumerate(judged(texts, forest)):
-                for s, e, _, x in reversed(found):
-                    if x >= threshold:
-                        texts[i] = texts[i][:s] + mark + texts[i][e:]
+                spans: list[tuple[int, int]] = []
+                for s, e in ((s, e) for s, e, _, x in found if x >= threshold):
+                    if spans and s < spans[-1][1]:
+                        spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+                    else:
+                        spans.append((s, e))
+                for s, e in reversed(spans):
+                    texts[i] = texts[i][:s] + mark + texts[i][e:]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
