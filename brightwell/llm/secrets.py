@@ -32,6 +32,10 @@ NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|ac
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s+[A-Za-z][A-Za-z-]*:(?:(?!-----)[^\r\n])*)*[A-Za-z0-9+/=\s\\]+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
 NAMES = ("passw", "pwd", "secret", "token", "key", "auth")
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9\-_]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{10,}\.)")
+#: Keys with a known prefix, wherever they stand; ``PREFIXES`` are what a text must hold to be searched.
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9\-_]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-.]*[A-Za-z0-9_\-])")
+PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "AIza", "eyJ")
+ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*={1,2}(?=[^=])")
 GOOD_WORDS = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key|auth|credential|bearer|private")
 BAD_WORDS = re.compile(r"(?i)commit|sha\d*|md5|checksum|digest|uuid|guid|hash|etag|revision|version|example|sample|dummy|placeholder|your|path|file|url|http|build|serial|isbn")
 #: Everyday words whose presence inside a value speaks against a random one.
@@ -39,29 +43,46 @@ DICTIONARY = re.compile(r"(?i)the|and|for|with|that|this|from|have|not|are|you|a
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """``start, end, kind`` of each candidate, by start; a place is reported once."""
+    """``start, end, kind`` of each candidate, by start; keys and long runs may lie inside a named value."""
     found: dict[int, tuple[int, str]] = {}
     low = text.lower()
     if "-----begin" in low:
         for m in BLOCK.finditer(text):
             found[m.start()] = (m.end(), "block")
+    blocks = [(s, e) for s, (e, _) in found.items()]
     if any(n in low for n in NAMES):
         for m in NAMED.finditer(text):
             found.setdefault(m.start(1), (m.end(1), "named"))
-    taken = [(s, e) for s, (e, _) in found.items()]
+    known = []
+    if any(p in text for p in PREFIXES):
+        known = [m.span() for m in PREFIXED.finditer(text) if not any(a <= m.start() < b for a, b in blocks)]
+        for s, e in known:
+            found.setdefault(s, (e, "known"))
     at = 0
     for chunk in text.split():
         at = text.index(chunk, at)
         if len(chunk) >= MIN_CHARS:
             for m in LONG.finditer(chunk):
-                s, e = at + m.start(), at + m.end()
-                v = m.group()
-                if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(a <= s < b for a, b in taken):
-                    found.setdefault(s, (e, "long"))
+                for s, e in runs(text, at + m.start(), at + m.end(), known):
+                    v = text[s:e]
+                    if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(a <= s < b for a, b in blocks):
+                        found.setdefault(s, (e, "long"))
         at += len(chunk)
     return [(s, e, k) for s, (e, k) in sorted(found.items())]
 
 
+def runs(text: str, start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of at least ``MIN_CHARS`` of a long run: between known keys, and apart from the names assigned to."""
+    out = []
+    for a, b in [*(k for k in known if start <= k[0] < end), (end, end)]:
+        while (m := ASSIGNED.match(text, start, a)) and a - m.end() >= MIN_CHARS:
+            out.append((start, m.end()))
+            start = m.end()
+        out.append((start, a))
+        start = max(start, b)
+    return [(s, e) for s, e in out if e - s >= MIN_CHARS]
+
+
 def features(before: str, value: str, after: str) -> list[float]:
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
