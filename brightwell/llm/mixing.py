@@ -90,7 +90,7 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep: flo
     cells = common.written(cells.withColumn("v", F.col("tokens").cast("double")), "cells")
     for _ in range(ROUNDS):
         for n, side in zip(names, SIDES, strict=True):
-            cells = cells.withColumn("v", F.try_divide(F.col("v") * F.col(f"goal_{side}"), F.sum("v").over(W.partitionBy(n))))
+            cells = cells.withColumn("v", F.coalesce(F.try_divide(F.col("v") * F.col(f"goal_{side}"), F.sum("v").over(W.partitionBy(n))), F.lit(0.0)))
         cells = common.written(cells, "cells")
     low, high = 0.0, 1e12
     expected = lambda c: cells.agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("v") * c))).first()[0]
