@@ -2,7 +2,9 @@
 
 Token totals by cell (source, language, topic) are raked until they have the target marginals;
 each document is then kept with a probability in proportion to its cell's raked weight, calibrated
-so that the expected tokens meet the budget, and drawn by a hash of its id.
+so that the expected tokens meet the budget, and drawn by a hash of its id.  A probability ends at 1:
+where the budget asks more of a cell than it has, the targets are missed, and ``marginals`` tells by how
+much.  Where the table has no topic, ``topic`` guesses a form of text from three substrings.
 
 Only the cells' totals leave the executors.  Up to ``MAX_CELLS`` of them (a checked bound) are raked
 on the driver and broadcast; more are raked as a table.
@@ -122,6 +124,23 @@ def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     return out.withColumn("mix_prob", prob).withColumn("mix_kept", draw < F.col("mix_prob")).drop("prob")
 
 
+def marginals(probs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``side, value, target, reached`` of the output of ``probabilities``: target and expected shares of the kept tokens.
+
+    Where the budget asks more of a cell than it has, its documents are all kept and ``reached`` misses ``target``.
+    """
+    out = None
+    for side in SIDES:
+        given = (targets or {}).get(side)
+        sums = probs.filter("mix_tokens > 0").groupBy(F.col(f"mix_{side}").alias("value")).agg(F.sum("mix_tokens").cast("double").alias("own"), F.sum(F.col("mix_tokens") * F.col("mix_prob")).alias("got"))
+        raw = F.pow("own", F.lit(TEMPER)) if given is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col("value")), F.lit(0.0))
+        sums = sums.withColumn("raw", raw)
+        whole = sums.agg(F.sum("raw").alias("all_raw"), F.sum("got").alias("all_got"))
+        part = sums.crossJoin(F.broadcast(whole)).select(F.lit(side).alias("side"), "value", F.try_divide("raw", "all_raw").alias("target"), F.try_divide("got", "all_got").alias("reached"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
     """The drawn rows, with the columns of ``docs``."""
     return probabilities(docs, targets, keep).filter("mix_kept").select(docs.columns)

@@ -14,3 +14,11 @@ def test_table_equals_driver_with_a_zero_target(spark):
     finally:
         mixing.ROUNDS = kept
     assert all(abs(got[c[:3]] - w) < 1e-6 for c, w in zip(CELLS, want, strict=True)) and got["c", "en", "p"] == 0
+
+
+def test_marginals_tell_the_miss(spark):
+    docs = spark.createDataFrame([(i, "word " * 10, "s", "en" if i < 90 else "fr", "p") for i in range(100)], "doc_id bigint, text string, source string, lang string, topic string")
+    goal = {"lang": {"en": 0.5, "fr": 0.5}}
+    for keep, fr in ((0.2, 0.5), (0.7, 1 / 7)):  # at 0.7 all of fr is kept, which is a seventh of the budget
+        got = {(r.side, r.value): (r.target, r.reached) for r in mixing.marginals(mixing.probabilities(docs, goal, keep), goal).collect()}
+        assert got["lang", "fr"][0] == 0.5 and abs(got["lang", "fr"][1] - fr) < 1e-6 and got["source", "s"] == (1.0, 1.0)
