@@ -233,6 +233,14 @@ def simple_paths_k(s: SparkSession, d: str) -> DataFrame:
     return out.select("src", "dst", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "path_rank")
 
 
+@query()
+def document_paths_k(s: SparkSession, d: str) -> DataFrame:
+    """Up to 3 shortest paths of at most 3 hops between all pairs of each question's seeds, over the whole document view."""
+    seeds = methods.seeds(methods.scored(questions(s, d), node_view(s, d))).select("qid", F.col("node_ord").alias("src")).distinct()
+    pairs = seeds.join(seeds.select("qid", F.col("src").alias("dst")), "qid").filter("src < dst")
+    return graph.simple_paths(edge_view(s, d), pairs, 3, 3)
+
+
 # retrieval
 
 
