@@ -62,7 +62,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/brightwell-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "t", reclaim: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str = "t", options: dict[str, str] | None = None, reclaim: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike a local checkpoint this survives the loss of any executor.  ``reclaim``, for jobs with
@@ -70,7 +70,7 @@ def written(df: DataFrame, name: str = "t", reclaim: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}-{name}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     if reclaim:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -1,14 +1,22 @@
 """Token-id output in training order (operator 10).
 
-All documents' tokens, each document closed by an end token, make one stream in order of doc_id; it
-is cut into sequences of ``LENGTH``.  A keyed Feistel permutation with cycle walking gives every
-sequence a slot, so the training order is random, reproducible and invertible without a table.  Runs
-of ``SHARD`` slots are written as files of fixed-stride records: slot ``s`` is record ``s % SHARD``
-of file ``s // SHARD``, so a reader starts or resumes anywhere by a seek.
-
-Documents' token counts are summed in two steps (ranges of ids on the driver, at most 4096; rows
-within a range by a window).  Pieces of sequences are shuffled once, by shard; a task writes its
-shards one after the other under another name and renames them, so a repeated task does no harm.
+Every text is encoded once, with a public byte-level vocabulary, and closed by an end token.  The
+rows of one input partition (a *block*) make one stream, which is cut into sequences of ``LENGTH``
+tokens; only a block's last sequence is filled up.  The sequences are kept in the shared folder as
+they are made, so their number ``n`` is known from counting rows, not from encoding again.
+
+A keyed Feistel permutation of ``range(n)`` with cycle walking gives every sequence its slot, so the
+training order is random, reproducible and invertible without a table.  Runs of ``SHARD`` slots are
+files of fixed-stride records: slot ``s`` is record ``s % SHARD`` of file ``s // SHARD``, so a reader
+starts or resumes anywhere by a seek.
+
+Records are shuffled once, by contiguous ranges of shards: a task deals what it holds to shards and
+sends each shard's records as one compressed row.  A task writes its shards one after the other
+under another name and renames them, so a repeated task does no harm.  It holds one shard at a time
+(``SHARD`` records, 4 MB).
+
+A block's first sequence number comes from the blocks' counts: one row for each input partition,
+summed in groups of ``GROUP``; the driver gets one number for each group.
 """
 
 from __future__ import annotations
@@ -20,18 +28,25 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints
+from . import common, token_counts
 
 LENGTH = 512
 SHARD = 4096
-END = 49407
 KEY = 20240229
-#: Documents' offsets (two numbers each) up to this many rows are broadcast; more are joined by a shuffle.
-OFFSET_ROWS = 1_000_000
+#: Records of one Arrow batch, and those that a task deals to shards at a time.
+BATCH_RECORDS, DEALT = 4096, 32_768
+#: Shards of one write task, and the most write tasks.
+PART_SHARDS, MAX_PARTS = 4, 100_000
+GROUP = 1024
+#: Blocks (one row of three numbers for each input partition) up to this many are broadcast; more are joined by a shuffle.
+BLOCK_ROWS = 2_000_000
+RECORD = "block bigint, local bigint, n_tokens int, first_doc_id bigint, last_doc_id bigint, ids binary"
+RESULT = "slot bigint, sequence bigint, shard bigint, byte_offset bigint, n_tokens bigint, record_sha256 string, first_doc_id bigint, last_doc_id bigint"
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False, rounds: int = 6) -> np.ndarray:
@@ -64,109 +79,155 @@ def feistel(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False, ro
     return out.astype(np.int64)
 
 
-def token_offsets(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """``doc_id, tie, offset`` of each distinct row's first token in the stream, and the stream's length.
+def vocabulary() -> str:
+    import public_tokenizers
 
-    ``tie`` is a hash of the text: rows with one doc_id follow each other by it.
-    """
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def end_token(path: str) -> int:
+    """The first id after the vocabulary's; a record's numbers have 16 bits."""
+    end = len(token_counts.spans(path).size)
+    if end > 0xFFFF:
+        raise ValueError(f"ids up to {end} do not fit 16 bits")
+    return end
+
+
+def sequences(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """``RECORD`` rows: the sequences of each block, in order."""
+
+    def run(batches: Iterator[dict]) -> Iterator[list]:
+        encode = token_counts.spans(path).encoding.encode_ordinary
+        block, local = TaskContext.get().partitionId(), 0
+        left, docs_left, ends_left = np.empty(0, "<u2"), [], np.empty(0, np.int64)
+
+        def cut(last: bool) -> Iterator[list]:
+            nonlocal local, left, docs_left, ends_left
+            k = len(left) // LENGTH
+            if last and len(left) % LENGTH:
+                k += 1
+            sizes = np.full(k, LENGTH)
+            if last and k:
+                sizes[-1] = len(left) - (k - 1) * LENGTH
+                left = np.concatenate([left, np.full(k * LENGTH - len(left), end, "<u2")])
+            at = np.arange(k) * LENGTH
+            first = np.searchsorted(ends_left, at, "right").tolist()
+            final = np.searchsorted(ends_left, at + sizes - 1, "right").tolist()
+            for i in range(0, k, BATCH_RECORDS):
+                j = min(k, i + BATCH_RECORDS)
+                raw = pa.py_buffer(left[i * LENGTH : j * LENGTH].tobytes())
+                places = pa.py_buffer((np.arange(j - i + 1) * (2 * LENGTH)).astype(np.int32).tobytes())
+                ids = pa.Array.from_buffers(pa.binary(), j - i, [None, places, raw])
+                yield [[block] * (j - i), range(local + i, local + j), sizes[i:j].tolist(), [docs_left[x] for x in first[i:j]], [docs_left[x] for x in final[i:j]], ids]
+            local += k
+            gone = int(np.searchsorted(ends_left, k * LENGTH, "right"))
+            left, docs_left, ends_left = left[k * LENGTH :], docs_left[gone:], ends_left[gone:] - k * LENGTH
+
+        for b in batches:
+            new = [np.array([*encode(t or ""), end], "<u2") for t in b["text"]]
+            ends_left = np.concatenate([ends_left, len(left) + np.cumsum([len(x) for x in new])])
+            left, docs_left = np.concatenate([left, *new]), [*docs_left, *b["doc_id"]]
+            yield from cut(False)
+        yield from cut(True)
+
+    return common.map_rows(docs.select("doc_id", "text"), run, RECORD)
+
+
+def bases(records: DataFrame) -> tuple[DataFrame, int, int]:
+    """``block, base`` (a block's first sequence number), the number of blocks, and that of sequences."""
+    counts = records.groupBy("block").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("block") / GROUP))
+    counts = common.written(counts, "counts")
+    groups = sorted((r.part, r.n, r.blocks) for r in counts.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect())
+    starts = accumulate([n for _, n, _ in groups], initial=0)
+    table = counts.sparkSession.createDataFrame([(p, s) for (p, _, _), s in zip(groups, starts, strict=False)], "part bigint, start bigint")
+    before = F.sum("n").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    out = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(table), "part")
+    return out.select("block", (F.col("start") + F.col("before")).alias("base")), sum(b for _, _, b in groups), sum(n for _, n, _ in groups)
+
+
+def dealt(records: DataFrame, n: int, per_part: int, key: int) -> DataFrame:
+    """One row for each shard of which a task holds records: their slots and numbers, and the records themselves, compressed."""
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
-        coder = bpe.encoder(path)
+        import zstandard
+
+        held: list[tuple] = []
+
+        def rows() -> list:
+            slots = feistel(np.array([r[0] for r in held], np.int64), n, key)
+            order = np.argsort(slots, kind="stable")
+            shards = slots[order] // SHARD
+            edges = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))).tolist()
+            out: list[list] = [[] for _ in range(8)]
+            for i, j in zip(edges, [*edges[1:], len(order)], strict=True):
+                mine = [held[k] for k in order[i:j].tolist()]
+                packed = zstandard.ZstdCompressor(level=3).compress(b"".join(r[4] for r in mine))
+                shard = int(shards[i])
+                for c, v in zip(out, (shard // per_part, shard, slots[order[i:j]].tolist(), *([r[c] for r in mine] for c in range(4)), packed), strict=True):
+                    c.append(v)
+            held.clear()
+            return out
+
         for b in batches:
-            yield [b["doc_id"], b["tie"], [len(coder.encode_bytes(t or "")) // 4 + 1 for t in b["text"]]]
+            held.extend(zip([x + y for x, y in zip(b["base"], b["local"], strict=True)], b["n_tokens"], b["first_doc_id"], b["last_doc_id"], b["ids"], strict=True))
+            if len(held) >= DEALT:
+                yield rows()
+        if held:
+            yield rows()
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    counts = common.map_rows(rows, run, "doc_id bigint, tie bigint, n bigint")
-    part = fingerprints.range_of(F.col("doc_id"), fingerprints.ranges(docs))
-    counts = common.written(counts.dropDuplicates(["doc_id", "tie"]).withColumn("part", part), "counts")
-    sums = {r.part: r.n for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    starts = dict(zip(sorted(sums), accumulate([sums[p] for p in sorted(sums)], initial=0), strict=False))
-    bases = docs.sparkSession.createDataFrame([*starts.items()], "part int, base bigint")
-    before = F.sum("n").over(W.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "tie").rowsBetween(W.unboundedPreceding, -1))
-    out = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(bases), "part")
-    return common.written(out.select("doc_id", "tie", (F.col("base") + F.col("before")).alias("offset")), "offsets"), sum(sums.values())
+    kinds = "part int, shard bigint, slots array<bigint>, sequences array<bigint>, sizes array<int>, firsts array<bigint>, lasts array<bigint>, packed binary"
+    return common.map_rows(records.select("base", "local", "n_tokens", "first_doc_id", "last_doc_id", "ids"), run, kinds)
 
 
 def write_shards(docs: DataFrame, out_dir: str, path: str | None = None, key: int = KEY) -> DataFrame:
     """Write the shards to ``out_dir`` (a URI all machines reach); one row for each sequence.
 
     ``slot, sequence, shard, byte_offset, n_tokens, record_sha256, first_doc_id, last_doc_id``.  The
-    files are written when the result is evaluated.  Null and empty texts give only an end token;
-    repeated rows (same doc_id and text) count once; a null doc_id comes first; an empty table
-    writes nothing; further columns are ignored.  The last sequence is filled with the end token.
+    files are written when the result is evaluated.  Rows are taken in the order of the table's
+    partitions; null and empty texts give only an end token; repeated rows repeat; a null doc_id is
+    passed on; an empty table writes nothing; further columns are ignored.  Ids beyond 16 bits are refused.
     """
-    path = path or bpe.default_vocabulary()
-    docs = docs.select("doc_id", "text")
-    offsets, total = token_offsets(docs, path)
-    n = -(-total // LENGTH)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    table = offsets.select(F.col("doc_id").alias("o_id"), F.col("tie").alias("o_tie"), "offset")
-    table = F.broadcast(table) if offsets.count() <= OFFSET_ROWS else table
-    rows = rows.join(table, rows.doc_id.eqNullSafe(F.col("o_id")) & (rows.tie == F.col("o_tie")))
-
-    def pieces(batches: Iterator[dict]) -> Iterator[list]:
-        coder = bpe.encoder(path)
-        for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for i, text, offset in zip(b["doc_id"], b["text"], b["offset"], strict=True):
-                ids = np.append(np.frombuffer(coder.encode_bytes(text or ""), "<u4"), END).astype("<u2")
-                at = 0
-                while at < len(ids):
-                    sequence, start = divmod(offset + at, LENGTH)
-                    take = min(LENGTH - start, len(ids) - at)
-                    for c, v in zip(cols, (sequence, start, i, ids[at : at + take].tobytes()), strict=True):
-                        c.append(v)
-                    at += take
-            slots = feistel(np.array(cols[0], np.int64), n, key)
-            yield [pa.array(slots // SHARD), pa.array(slots), *cols]
-
-    parts = common.map_rows(rows.select("doc_id", "text", "offset"), pieces, "shard bigint, slot bigint, sequence bigint, start int, doc_id bigint, ids binary")
-    parts = parts.repartition(max(1, min(-(-n // SHARD), 100_000)), "shard").sortWithinPartitions("shard", "slot", "start")
+    path = path or vocabulary()
+    end = end_token(path)
+    records = common.written(sequences(docs, path, end), "sequences", {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.enable.dictionary": "false"})
+    table, blocks, n = bases(records)
+    n_shards = max(1, -(-n // SHARD))
+    per_part = max(PART_SHARDS, -(-n_shards // MAX_PARTS))
+    rows = records.join(F.broadcast(table) if blocks <= BLOCK_ROWS else table, "block")
+    parts = dealt(rows, n, per_part, key).repartitionById(-(-n_shards // per_part), "part").sortWithinPartitions("shard")
 
     def write(batches: Iterator[dict]) -> Iterator[list]:
+        import zstandard
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(out_dir)
         store.create_dir(folder)
-        shard, out, name = None, None, ""
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(name, f"{folder}/shard-{shard:08d}.bin")
-
-        def record(slot: int, sequence: int, ids: bytes, first: int, last: int) -> tuple:
-            nonlocal shard, out, name
-            if slot // SHARD != shard:
-                close()
-                shard, name = slot // SHARD, f"{folder}/.{uuid.uuid4().hex}"
-                out = store.open_output_stream(name)
-            full = ids + END.to_bytes(2, "little") * (LENGTH - len(ids) // 2)
-            out.write(full)
-            return slot, sequence, shard, slot % SHARD * LENGTH * 2, len(ids) // 2, hashlib.sha256(full).hexdigest(), first, last
-
-        now: tuple | None = None
-        last: tuple | None = None
-        parts: list[bytes] = []
+        size = 2 * LENGTH
+        shard, full, rows = None, bytearray(), []
+
+        def close() -> list:
+            rows.sort()
+            name = f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(name) as out:
+                out.write(full[: len(rows) * size])
+            store.move(name, f"{folder}/shard-{shard:08d}.bin")
+            return [list(c) for c in zip(*rows, strict=True)]
+
         for b in batches:
-            rows = []
-            for slot, sequence, start, doc, ids in zip(b["slot"], b["sequence"], b["start"], b["doc_id"], b["ids"], strict=True):
-                if (slot, start) == last:  # the sort puts a repeated row's pieces side by side
-                    continue
-                last = slot, start
-                if now is None or now[0] != slot:
-                    if now is not None:
-                        rows.append(record(now[0], now[1], b"".join(parts), now[2], now[3]))
-                    now, parts = (slot, sequence, doc, doc), []
-                now = (*now[:3], doc)
-                parts.append(ids)
-            if rows:
-                yield [list(c) for c in zip(*rows, strict=True)]
-        if now is not None:
-            yield [[v] for v in record(now[0], now[1], b"".join(parts), now[2], now[3])]
-        close()
-
-    return common.map_rows(parts, write, "slot bigint, sequence bigint, shard bigint, byte_offset bigint, n_tokens bigint, record_sha256 string, first_doc_id bigint, last_doc_id bigint")
+            for s, slots, *numbers, packed in zip(*(b[c] for c in ("shard", "slots", "sequences", "sizes", "firsts", "lasts", "packed")), strict=True):
+                if s != shard:
+                    if rows:
+                        yield close()
+                    shard, full, rows = s, bytearray(SHARD * size), []
+                raw = zstandard.ZstdDecompressor().decompress(packed)
+                for i, (slot, sequence, tokens, first, last) in enumerate(zip(slots, *numbers, strict=True)):
+                    place, record = slot % SHARD * size, raw[i * size : (i + 1) * size]
+                    full[place : place + size] = record
+                    rows.append((slot, sequence, s, place, tokens, hashlib.sha256(record).hexdigest(), first, last))
+        if rows:
+            yield close()
+
+    return common.map_rows(parts.drop("part"), write, RESULT)
 
 
 def read_slots(out_dir: str, slot: int, n: int) -> Iterator[np.ndarray]:

@@ -80,6 +80,13 @@ def attributed(starts: np.ndarray, ends: np.ndarray, bounds: list[int]) -> tuple
 _SPANS: dict[str, Spans] = {}
 
 
+def spans(path: str) -> Spans:
+    """One encoder per worker process and vocabulary."""
+    if path not in _SPANS:
+        _SPANS[path] = Spans(path)
+    return _SPANS[path]
+
+
 def attribute(docs: DataFrame, path: str | None = None, fields: list[str] | None = None) -> DataFrame:
     """``doc_id, section, start, end, n_tokens, n_crossing``: one row for each section.
 
@@ -91,14 +98,13 @@ def attribute(docs: DataFrame, path: str | None = None, fields: list[str] | None
     names = fields or ["text"]
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
-        if path not in _SPANS:
-            _SPANS[path] = Spans(path)
+        own_spans = spans(path).spans
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for i, *parts in zip(b["doc_id"], *(b[n] for n in names), strict=True):
                 text = "".join(p or "" for p in parts)
                 bounds = np.cumsum([0, *(len(p or "") for p in parts)]).tolist() if fields else line_bounds(text)
-                own, crossing = attributed(*_SPANS[path].spans(text), bounds)
+                own, crossing = attributed(*own_spans(text), bounds)
                 n = len(bounds) - 1
                 for column, values in zip(out, ([i] * n, range(n), bounds[:-1], bounds[1:], own.tolist(), crossing.tolist()), strict=True):
                     column.extend(values)

@@ -88,20 +88,6 @@ def test_feistel_is_a_permutation():
         assert sorted(f) == list(range(n)) and (shards.feistel(f, n, inverse=True) == np.arange(n)).all()
 
 
-def test_shards_hold_the_stream(odd, tmp_path):
-    docs = odd.filter("doc_id is not null")
-    out = f"file://{tmp_path}/s"
-    rows = shards.write_shards(docs, out).collect()
-    own, stream = bpe.encoder(bpe.default_vocabulary()), []
-    for _, t in sorted({(r[0], r[1] or "") for r in ROWS if r[0] is not None}):
-        stream += np.frombuffer(own.encode_bytes(t), "<u4").tolist() + [shards.END]
-    n = -(-len(stream) // shards.LENGTH)
-    assert len(rows) == n
-    full = np.array(stream + [shards.END] * (n * shards.LENGTH - len(stream)), "<u2").reshape(n, -1)
-    order = shards.feistel(np.arange(n), n, inverse=True)
-    assert all((a == full[order[s]]).all() for s, a in enumerate(shards.read_slots(out, 0, n)))
-
-
 def test_forest_on_held_out_findings():
     rows = secrets.labelled_findings(300, seed=77)
     score = secrets.fitted().predict(np.array([secrets.features(b[-48:], v, a[:48]) for b, v, a, _ in rows])) >= 0.5
