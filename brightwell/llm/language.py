@@ -4,8 +4,9 @@ Each language has a codeword of +-1; a binary logistic classifier over hashed ch
 predicts each bit.  A text gets the language whose codeword has the least loss, each bit's loss
 weighted by how well its classifier did; close calls are flagged.
 
-Fitted on a bounded sample (``MAX_TRAIN`` rows, the same number of each language, chosen by a hash
-of doc_id) of rows that are not held out; predictions use the text alone.
+Fitted on a bounded sample of the distinct texts that are not held out (``MAX_TRAIN`` texts, or one
+of each language if there are more of those; the same number of each language, those with the
+smallest hashes); predictions use the text alone.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TRAIN = 2000
-#: Rows of a language drawn by hash for each row of its part of the sample, and the number of hashes.
-DRAWN, HASHES = 4, 1 << 40
+#: Texts of a language drawn by hash for each text of its part of the sample, the least that are drawn, and the number of hashes.
+DRAWN, LEAST, HASHES = 4, 64, 1 << 40
 BUCKETS = 4096
 #: Least softmax share of the best language below which a text counts as ambiguous.
 CLEAR = 0.9
@@ -65,7 +66,12 @@ def codewords(n: int) -> np.ndarray:
 
 
 class Codes:
-    """The fitted classifiers, codewords and bit weights."""
+    """The fitted classifiers, codewords and bit weights.
+
+    A bit's weight is the inverse of its classifier's mean loss on rows that it has not seen (each
+    half of the sample is judged by a fit on the other), so that a bit that generalises badly counts
+    for less.  The weights sum to the number of bits.
+    """
 
     def __init__(self, x: np.ndarray, langs: list[str], steps: int = 150, rate: float = 40.0, shrink: float = 1e-5):
         self.names = sorted(set(langs))
@@ -75,16 +81,27 @@ class Codes:
         if not bits:
             return
         y = self.code[[self.names.index(v) for v in langs]]
-        speed, bias_speed = np.zeros_like(self.w), np.zeros_like(self.b)
-        for _ in range(steps):
-            pull = -y / (1 + np.exp(np.clip(y * (x @ self.w + self.b), -30, 30))) / len(x)
-            speed = 0.9 * speed - rate * (0.1 * (x.T @ pull) + shrink * self.w)
-            bias_speed = 0.9 * bias_speed - 0.1 * pull.sum(0)
-            self.w += speed
-            self.b += bias_speed
-        right = ((x @ self.w + self.b) * y > 0).mean(0)
-        odds = np.log(np.clip(right, 0.501, 0.999) / (1 - np.clip(right, 0.501, 0.999)))
-        self.weight = (odds / odds.sum() * bits).astype(np.float32)
+
+        def fitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            w, b = np.zeros_like(self.w), np.zeros_like(self.b)
+            speed, bias_speed = np.zeros_like(w), np.zeros_like(b)
+            for _ in range(steps):
+                pull = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) / len(x)
+                speed = 0.9 * speed - rate * (0.1 * (x.T @ pull) + shrink * w)
+                bias_speed = 0.9 * bias_speed - 0.1 * pull.sum(0)
+                w += speed
+                b += bias_speed
+            return w, b
+
+        self.w, self.b = fitted(x, y)
+        side = np.arange(len(x)) % 2 == 0
+        if side.sum() >= 2 and (~side).sum() >= 2:
+            loss = np.zeros(bits)
+            for part in (side, ~side):
+                w, b = fitted(x[part], y[part])
+                loss += np.logaddexp(0, -y[~part] * (x[~part] @ w + b)).sum(0)
+            weight = 1 / (loss / len(x) + 1e-3)
+            self.weight = (weight / weight.sum() * bits).astype(np.float32)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword and its softmax share, for each row of ``x``."""
@@ -95,28 +112,38 @@ class Codes:
         return loss.argmin(1), share.max(1)
 
 
-def fit(docs: DataFrame) -> Codes | None:
-    """Fit on rows of ``docs`` that are not held out and have a language and a text; None without any."""
-    able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = common.written(able.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
+def sample(docs: DataFrame) -> DataFrame | None:
+    """``lang, text``: the texts to fit on, at most ``MAX_TRAIN`` or one of each language; None without any.
+
+    Equal texts of a language are one, however many rows have them, so neither a repeated row nor a
+    repeated doc_id makes the sample larger or leaves a language out.
+    """
+    able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    able = able.select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = common.written(able.select("lang", "h").distinct(), "texts")
+    sizes = common.written(texts.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
     n = sizes.count()
     if not n:
         return None
     most = max(1, MAX_TRAIN // n)
-    # a share of the hashes, so that a language's window gets about DRAWN * most rows however many it has
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.lit(DRAWN * most * HASHES).cast("double") / F.col("size")
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = common.joined(able.select("doc_id", "lang"), sizes, "lang", rows=n).filter(drawn).withColumn("place", first).filter(F.col("place") <= most).select("doc_id").distinct()
-    some = common.joined(able.select("doc_id", "text", "lang"), common.written(ids, "sample"), "doc_id", "left_semi")
+    # a share of the hashes, so that a language's window gets a bounded number of texts however many it has
+    drawn = F.pmod("h", F.lit(HASHES)) < F.lit(float(max(LEAST, DRAWN * most)) * HASHES) / F.col("size")
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(HASHES)), "h"))
+    some = common.joined(texts, sizes, "lang", rows=n).filter(drawn).withColumn("place", first).filter(F.col("place") <= most).select("lang", "h")
+    return common.joined(able, common.written(some, "sample"), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame) -> Codes | None:
+    """Fit on rows of ``docs`` that are not held out and have a language and a text with a letter; None without any."""
+    some = sample(docs)
+    if some is None:
+        return None
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
         for b in batches:
-            rows = [(lang, features(t).tobytes()) for t, lang in zip(b["text"], b["lang"], strict=True) if has_letter(t)]
-            yield [[r[0] for r in rows], [r[1] for r in rows]]
+            yield [b["lang"], [features(t).tobytes() for t in b["text"]]]
 
     rows = sorted(common.map_rows(some.select("text", "lang"), run, "lang string, x binary").collect())
-    if not rows:
-        return None
     return Codes(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]), [r.lang for r in rows])
 
 
