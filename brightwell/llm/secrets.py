@@ -3,8 +3,9 @@
 Candidates are long mixed strings, known key prefixes, private-key blocks and values assigned to
 key-like names.  A forest over length, character transitions, dictionary coverage, path form and
 neighbouring words decides which of them are secrets.  It is trained on labelled findings: a table
-of (before, value, after, label), by default ``labelled_findings``, a seeded set of the forms that
-scanners report.  Rows are independent; one Arrow batch is in memory at a time.
+of (before, value, after, label), read by ``findings_from``, by default ``labelled_findings``, a
+seeded set of the forms that scanners report.  ``held_out`` splits findings and measures precision
+and recall on those not trained with.  Rows are independent; one Arrow batch is in memory at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -28,6 +30,7 @@ MIN_CHARS = 16
 MAX_FINDINGS = 4000
 CONTEXT = 48
 LONG = re.compile(r"[A-Za-z0-9+/_\-.=]{16,}")
+LETTER = re.compile(r"[A-Za-z]")
 NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,16}[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"']{8,})")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s+[A-Za-z][A-Za-z-]*:(?:(?!-----)[^\r\n])*)*[A-Za-z0-9+/=\s\\]+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
 NAMES = ("passw", "pwd", "secret", "token", "key", "auth")
@@ -64,8 +67,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if len(chunk) >= MIN_CHARS:
             for m in LONG.finditer(chunk):
                 for s, e in runs(text, at + m.start(), at + m.end(), known):
-                    v = text[s:e]
-                    if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(a <= s < b for a, b in blocks):
+                    if LETTER.search(text, s, e) and not any(a <= s < b for a, b in blocks):
                         found.setdefault(s, (e, "long"))
         at += len(chunk)
     return [(s, e, k) for s, (e, k) in sorted(found.items())]
@@ -104,7 +106,8 @@ def features(before: str, value: str, after: str) -> list[float]:
         float(len(counts)) / n,
         float(value.count("/") + value.count("\\") + 2 * ("://" in around[-60:]) + bool(re.search(r"\.\w{2,4}$", value))),
         float(bool(GOOD_WORDS.search(before[-24:]))),
-        float(bool(BAD_WORDS.search(around)) or bool(BAD_WORDS.search(value))),
+        float(bool(BAD_WORDS.search(before[-24:])) or bool(BAD_WORDS.search(value))),
+        float(bool(BAD_WORDS.search(around))),
         float(before.rstrip(" \"'").endswith(("=", ":"))),
         float(bool(KNOWN.match(value)) or "PRIVATE KEY" in value),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))),
@@ -119,7 +122,8 @@ def labelled_findings(n: int = 1600, seed: int = 8) -> list[tuple[str, str, str,
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     hexa = lambda k: pick("0123456789abcdef", k) if rng.random() < 0.8 else pick("0123456789ABCDEF", k)
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    words = lambda: " ".join(word() for _ in range(5))
+    stray = lambda: rng.choice(["mail.example.com", "the file", "version 2", "http://a.example.org", "build 7", "my token", "a secret", "the key"])
+    words = lambda: " ".join(word() for _ in range(5)) + (f" {stray()}" if rng.random() < 0.2 else "")
     quote = lambda: rng.choice(['"', "'", ""])
     out = []
     for _ in range(n):
@@ -130,6 +134,10 @@ def labelled_findings(n: int = 1600, seed: int = 8) -> list[tuple[str, str, str,
         out.append((f"{words()} {name}{link}{q}", value, f"{q} {words()}", 1))
         value = rng.choice([lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 40), lambda: "xoxb-" + pick(alnum, 30)])()
         out.append((f"{words()} ", value, f" {words()}", 1))
+        if rng.random() < 0.3:  # without a digit
+            out.append((f"{words()} {name}{link}{q}" if rng.random() < 0.5 else f"{words()} ", pick(alnum[:52], rng.randint(20, 44)), f"{q} {words()}", 1))
+            long = "".join(word() for _ in range(rng.randint(2, 5)))
+            out.append((f"{words()} ", rng.choice([long, long.capitalize(), f"{long}-{word()}", f"{word()}_{long}", f"{word()}/{long}", f"www.{long}.org", f"{long}.{word().capitalize()}"]), f" {words()}", 0))
         before, value = rng.choice(
             [
                 lambda: (rng.choice(["commit ", "sha1: ", "checksum = ", "md5 ", "etag: ", "digest=", "revision "]), hexa(rng.choice([32, 40, 64]))),
@@ -150,6 +158,23 @@ def labelled_findings(n: int = 1600, seed: int = 8) -> list[tuple[str, str, str,
     return out[:MAX_FINDINGS]
 
 
+def findings_from(table: DataFrame) -> list[tuple[str, str, str, int]]:
+    """At most ``MAX_FINDINGS`` of ``table (before, value, after, label)``: those with the smallest hashes, each once.
+
+    Rows without a value or a label are no findings; a null neighbourhood is empty.
+    """
+    t = table.filter("value is not null and label is not null").select(F.coalesce("before", F.lit("")).alias("before"), "value", F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("int").alias("label"))
+    return [tuple(r)[:4] for r in t.distinct().withColumn("h", F.xxhash64("before", "value", "after")).orderBy("h", "before", "value", "after", "label").limit(MAX_FINDINGS).collect()]
+
+
+def held_out(findings: list[tuple[str, str, str, int]], threshold: float = 0.5) -> dict[str, float]:
+    """Precision and recall on every fourth finding of a forest trained on the others."""
+    test, train = findings[::4], [f for i, f in enumerate(findings) if i % 4]
+    found = fitted(train).predict(np.array([features(b[-CONTEXT:], v, a[:CONTEXT]) for b, v, a, _ in test])) >= threshold
+    true = np.array([f[3] == 1 for f in test])
+    return {"precision": float((found & true).sum() / max(1, found.sum())), "recall": float((found & true).sum() / max(1, true.sum()))}
+
+
 class Forest:
     """Random forest of CART trees (Gini) kept as flat arrays; deterministic for a seed."""
 
