@@ -2,16 +2,20 @@
 
 A public sentencepiece vocabulary measures each text: characters per token, tokens per word
 (fertility), the share of byte-fallback tokens and the entropy of the token counts in bits.  A
-text outside its language's band is rejected.  Two base rules (too few words; too many words in
-repeated eight-word windows) reject before that.
+text outside its language's band is rejected; where the language is null or has no band, that of
+the script of most of its letters holds.  Two base rules (too few words; too many words in repeated
+eight-word windows) reject before that.
 
-Each word is encoded by itself and kept in a bounded cache, so a text costs a look-up per word.
+The vocabulary never merges over a blank, so the tokens of a text's words joined by single blanks
+are those of the words one by one: each word is encoded by itself and kept in a bounded cache, and a
+text costs a look-up per word.
 Rows are independent: no shuffle, one document in memory at a time besides its Arrow batch.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,8 +47,10 @@ class Band:
 
 @dataclass(frozen=True)
 class Rules:
-    """``bands`` by language; others get ``default``.  Below ``min_tokens`` the measures are too
-    noisy and only the base rules decide."""
+    """``bands`` by language, ``scripts`` by script for other languages, and ``default`` for the rest.
+
+    Below ``min_tokens`` the measures are too noisy and only the base rules decide.
+    """
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -57,7 +63,33 @@ class Rules:
             "fr": Band((1.70, 6.5), (1.0, 3.15)),
         }
     )
-    default: Band = Band((0.8, 6.0), (0.8, 12.0), 0.6, 4.0)
+    scripts: dict[str, Band] = field(
+        default_factory=lambda: {
+            "latin": Band((1.3, 6.5), (1.0, 4.5), 0.2, 4.75),
+            "cyrillic": Band((1.1, 5.0), (1.0, 6.0), 0.2, 4.75),
+            "greek": Band((0.7, 4.0), (1.0, 9.0), 0.5, 4.0),
+            "arabic": Band((0.6, 4.0), (1.0, 9.0), 0.5, 4.0),
+            "east asian": Band((0.3, 3.0), (1.0, 500.0), 0.9, 4.0),
+        }
+    )
+    default: Band = Band((0.3, 6.0), (0.8, 100.0), 0.95, 4.0)
+
+
+#: Letters of a script; the first of those with most letters is a text's script.
+SCRIPTS = {
+    "latin": re.compile("[A-Za-z\u00c0-\u024f]"),
+    "cyrillic": re.compile("[\u0400-\u052f]"),
+    "greek": re.compile("[\u0370-\u03ff]"),
+    "arabic": re.compile("[\u0600-\u06ff]"),
+    "east asian": re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"),
+}
+
+
+def script(text: str) -> str | None:
+    """The script of most of the letters; None without a letter of these."""
+    counts = {k: len(p.findall(text)) for k, p in SCRIPTS.items()}
+    best = max(counts, key=counts.get)
+    return best if counts[best] else None
 
 
 def vocabulary() -> str:
@@ -137,10 +169,12 @@ def base_failed(n_words: int, n_repeat: int, rules: Rules) -> bool:
     return n_words < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * n_words
 
 
-def in_band(measured: tuple[int, float, float, float, float], lang: str | None, rules: Rules) -> bool:
+def in_band(measured: tuple[int, float, float, float, float], lang: str | None, text: str | None, rules: Rules) -> bool:
     n, per_token, per_word, fallback, entropy = measured
-    band = rules.bands.get(lang or "", rules.default)
-    return n < rules.min_tokens or (
+    if n < rules.min_tokens:
+        return True
+    band = rules.bands.get(lang or "") or rules.scripts.get(script(text or "") or "", rules.default)
+    return (
         band.chars_per_token[0] <= per_token <= band.chars_per_token[1]
         and band.tokens_per_word[0] <= per_word <= band.tokens_per_word[1]
         and fallback <= band.fallback
@@ -166,7 +200,7 @@ RESULT = (
 def report(docs: DataFrame, rules: Rules = Rules(), path: str | None = None) -> DataFrame:
     """Counts, measures and verdict of each row of ``docs(doc_id, text, lang)``.
 
-    Null text: no words, so ``base_failed``.  A null or unknown language gets the default band.
+    Null text: no words, so ``base_failed``.  A null or unknown language gets its script's band.
     Repeated rows repeat, an empty table gives an empty result, further columns are ignored, a
     null doc_id is passed on.
     """
@@ -180,14 +214,17 @@ def report(docs: DataFrame, rules: Rules = Rules(), path: str | None = None) ->
                 words, chars, symbols, lines, repeat = m.counts(text)
                 failed = base_failed(len(words), repeat, rules)
                 measured = m.measure(words, chars)
-                rows.append((i, len(words), chars, symbols, lines, repeat, failed, not failed and in_band(measured, lang, rules), *measured))
+                rows.append((i, len(words), chars, symbols, lines, repeat, failed, not failed and in_band(measured, lang, text, rules), *measured))
             yield [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 13
 
     return common.map_rows(docs.select("doc_id", "text", "lang"), run, RESULT)
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), path: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; measured and filtered in one pass."""
+    """The rows of ``docs`` that pass, with all their columns; measured and filtered in one pass.
+
+    Null and empty texts go; repeated rows pass or go together; an empty table gives an empty result.
+    """
     path = path or vocabulary()
     common.small_batches(docs.sparkSession)
 
@@ -197,7 +234,7 @@ def keep(docs: DataFrame, rules: Rules = Rules(), path: str | None = None) -> Da
             verdicts = []
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 words, chars, _, _, repeat = m.counts(text)
-                verdicts.append(not base_failed(len(words), repeat, rules) and in_band(m.measure(words, chars), lang, rules))
+                verdicts.append(not base_failed(len(words), repeat, rules) and in_band(m.measure(words, chars), lang, text, rules))
             yield b.filter(pa.array(verdicts, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
