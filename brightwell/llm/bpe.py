@@ -17,6 +17,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Refuse a vocabulary file whose rules are not those that the encoder follows."""
+    model = spec["model"]
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = [n.get("type") for n in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    fits = model.get("type") == "BPE" and model.get("end_of_word_suffix") == END and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not fits or steps != ["NFC", "Replace", "Lowercase"] or splits != ["Split", "ByteLevel"] or spec.get("decoder"):
+        raise ValueError("the vocabulary's normaliser, splitter or model is of another kind")
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if any(a >= b for a, b in pairwise(made)):
+        raise ValueError("ids don't ascend in the order of the merges")
+
+
 class BacktrackingBPE:
     """Encoder and decoder for a word-final BPE vocabulary in the ``tokenizers`` JSON format."""
 
@@ -52,6 +66,7 @@ class BacktrackingBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.inverse = {ord(c): b for b, c in self.alphabet.items()}
