@@ -1,13 +1,20 @@
 """Document fingerprints (operator 2) by winnowing, in DataFrame functions only.
 
-Every ``GRAM`` neighbouring words of a text give a hash; of every ``WINDOW`` neighbouring hashes the
-smallest is chosen, of equal ones the rightmost, with its position.  Texts that share a run of
-``GRAM + WINDOW - 1`` words therefore share a chosen hash.  The likeness of two fingerprints is the
-Jaccard similarity of their hash sets.
+Every ``GRAM`` neighbouring words of a text give a rolling hash: the polynomial of their word hashes
+with base ``BASE`` modulo ``PRIME``.  Of every ``WINDOW`` neighbouring hashes the smallest is chosen,
+of equal ones the rightmost, with its position.  Texts that share a run of ``GRAM + WINDOW - 1`` words
+therefore share a chosen hash.  The likeness of two fingerprints is the Jaccard similarity of their
+hash sets.
+
+The hash that rolls on, ``(h - w[i] * BASE**4) * BASE + w[i + 5]``, needs its left neighbour, which
+DataFrame functions have only by a fold that copies its result at every step.  So the same numbers
+are made by doubling: hashes of two words from those of one, of four from two, of five from four and
+one, each a pass over the array.  No product exceeds 63 bits, as ``BASE**2`` has 26 and ``PRIME`` 35.
 
 A hash and its position are packed into one 64-bit number (hash above, mirrored position below), so
 that the smallest number is the smallest hash and, of equal hashes, the rightmost; sliding minima
-take log2(WINDOW) passes of element-wise ``least``.
+take log2(WINDOW) passes of element-wise ``least``.  28 bits hold any position: an array of 64-bit
+numbers has at most 2**28 entries in Spark, as it has at most 2**31 bytes.
 """
 
 from __future__ import annotations
@@ -21,24 +28,31 @@ from . import common
 GRAM = 5
 #: A power of two.
 WINDOW = 4
-POSITION_BITS = 25
+POSITION_BITS = 28
+#: The largest prime of 35 bits, and the base of the polynomial.
+PRIME, BASE = 2**35 - 31, 8009
 #: Rows of one range of ids, and the most ranges; their bounds are the only thing the driver gets.
-RANGE_ROWS, MAX_RANGES = 1000, 4096
+RANGE_ROWS, MAX_RANGES = 1000, 65_536
 _LAST = (1 << POSITION_BITS) - 1
 
 
-def grams(text: Column) -> Column:
-    """Hashes of the lower-cased words; they enter the grams."""
-    return F.transform(F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+def word_hashes(text: Column) -> Column:
+    """Hashes below ``PRIME`` of the lower-cased words."""
+    return F.transform(F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+
+
+def rolled(h: Column, step: int, base: int, other: Column) -> Column:
+    """``h[i] * base + other[i + step]`` modulo ``PRIME`` for each place; null beyond the end."""
+    return F.transform(h, lambda x, i: (x * F.lit(base) + F.get(other, i + step)) % F.lit(PRIME))
 
 
-def packed(h: Column) -> Column:
-    """One number for each gram of the word hashes ``h``; fewer words than a gram are one gram, none is none."""
-    code = lambda g, i: F.shiftleft(F.shiftrightunsigned(g, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.lit(_LAST).cast("bigint") - i)
-    n = F.size(h) - GRAM + 1
-    whole = F.array(code(F.xxhash64(h), F.lit(0)))
-    each = F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(0))), lambda x, i: code(F.xxhash64(x, *[F.get(h, i + k) for k in range(1, GRAM)]), i))
-    return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(n < 1, whole).otherwise(each)
+def packed(h: Column, words: Column) -> Column:
+    """One number for each gram of the gram hashes ``h``; fewer words than a gram are one gram, none is none."""
+    code = lambda g, i: F.shiftleft(g, POSITION_BITS).bitwiseOR(F.lit(_LAST).cast("bigint") - i)
+    n = F.size(words) - GRAM + 1
+    whole = F.array(code(F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME)), F.lit(0)))
+    each = F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(0))), code)
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(n < 1, whole).otherwise(each)
 
 
 def chosen(p: Column, step: int) -> Column:
@@ -51,8 +65,12 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     The stages are columns of their own, as a column used twice is not computed twice.
     """
-    df = df.withColumn(out, grams(F.col(text)))
-    df = df.withColumn(out, packed(F.col(out)))
+    words = f"{out}_w"
+    df = df.withColumn(words, word_hashes(F.col(text)))
+    df = df.withColumn(out, rolled(F.col(words), 1, BASE, F.col(words)))
+    df = df.withColumn(out, rolled(F.col(out), 2, BASE * BASE, F.col(out)))
+    df = df.withColumn(out, rolled(F.col(out), 4, BASE, F.col(words)))
+    df = df.withColumn(out, packed(F.col(out), F.col(words))).drop(words)
     df = df.withColumn(f"{out}_n", F.greatest(F.size(out) - WINDOW + 1, F.least(F.lit(1), F.size(out))))
     step = 1
     while step < WINDOW:
@@ -82,26 +100,37 @@ def digest(fp: Column) -> Column:
     return F.sha2(F.array_join(F.transform(fp, lambda v: F.hex(v)), ","), 256)
 
 
+def _constant(values: list, kind: str = "L") -> Column:
+    """An array, or an array of arrays, as one constant of the plan."""
+    say = lambda v: f"array({','.join(map(say, v))})" if isinstance(v, list) else f"{v}{kind}"
+    return F.expr(say(values))
+
+
 def ranges(docs: DataFrame) -> list[int]:
     """Bounds of ranges of doc_id with about as many rows, the smallest id first; all are ids that occur."""
     n = docs.count()
     if not n:
         return []
     k = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    found = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(k)], 10 * k), F.min("doc_id")).first()
+    parts = ",".join(f"{i / k!r}D" for i in range(k))
+    found = docs.agg(F.expr(f"percentile_approx(doc_id, array({parts}), {10 * k})"), F.min("doc_id")).first()
     return [] if found[1] is None else sorted({found[1], *found[0]})
 
 
+def _blocks(bounds: list[int]) -> list[list[int]]:
+    side = max(1, int(len(bounds) ** 0.5))
+    return [bounds[i : i + side] for i in range(0, len(bounds), side)]
+
+
 def range_of(doc_id: Column, bounds: list[int]) -> Column:
     """Number of the range, in two steps of a root each."""
     if not bounds:
         return F.lit(0)
-    side = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    blocks = _blocks(bounds)
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= doc_id))
-    block = F.greatest(below(F.array(*[F.lit(b[0]) for b in blocks])) - 1, F.lit(0))
-    inside = below(F.get(F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks]), block))
-    return F.when(doc_id.isNull(), 0).otherwise(F.greatest(block * side + inside - 1, F.lit(0)))
+    block = F.greatest(below(_constant([b[0] for b in blocks])) - 1, F.lit(0))
+    inside = below(F.get(_constant(blocks), block))
+    return F.when(doc_id.isNull(), 0).otherwise(F.greatest(block * len(blocks[0]) + inside - 1, F.lit(0)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -115,7 +144,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     part = range_of(F.col("doc_id"), bounds)
     here = F.struct(part.cast("int").alias("part"), F.lit(False).alias("tail"))
     before = F.struct(F.when(part == 0, last).otherwise(part - 1).cast("int").alias("part"), F.lit(True).alias("tail"))
-    first = F.col("doc_id").isin(bounds) if len(bounds) <= 64 else F.array_contains(F.get(F.array(*[F.array(*[F.lit(x) for x in bounds[i : i + 64]]) for i in range(0, len(bounds), 64)]), F.floor(part / 64).cast("int")), F.col("doc_id"))
+    blocks = _blocks(bounds)
+    first = F.array_contains(F.get(_constant(blocks), F.floor(part / len(blocks[0])).cast("int")), F.col("doc_id")) if bounds else F.lit(False)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.when(F.coalesce(first, F.lit(False)), F.array(here, before)).otherwise(F.array(here))).alias("p"))
     return rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), "p.part", "p.tail")
 

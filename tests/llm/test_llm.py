@@ -118,7 +118,7 @@ def test_winnowing_guarantee(spark):
     noise = lambda: " ".join(f"n{rng.randrange(10**9)}" for _ in range(40))
     df = spark.createDataFrame([(1, f"{noise()} {run} {noise()}"), (2, f"{noise()} {run} {noise()}")], "doc_id bigint, text string")
     r = {x.doc_id: x for x in fingerprints.compare(df).collect()}
-    assert {v >> 25 for v in r[1].grams} & {v >> 25 for v in r[2].grams} and r[1].near_next > 0
+    assert {v >> 28 for v in r[1].grams} & {v >> 28 for v in r[2].grams} and r[1].near_next > 0
     assert hashlib.sha256(b"").hexdigest() != r[1].edited_sha256
 
 
