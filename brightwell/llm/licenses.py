@@ -10,6 +10,7 @@ key phrases.  Rows are independent: one pass, no shuffle, no broadcast beyond th
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: phrase and label of the base rule
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Label, words of the notice, mandatory key phrases (each has a word that TRIGGER finds).
+#: Label, words of the notice, mandatory key phrases (TRIGGER finds a word of one of them).
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
@@ -41,6 +42,13 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use", "binary forms"]),
     ("unlicense", "this is free and unencumbered software released into the public domain unlicense", ["unencumbered software", "unlicense"]),
     ("proprietary", "all rights reserved no license is granted", ["all rights reserved", "no license is granted"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice", "substantial portions"]),
+    ("apache-2.0", "you may not use this file except in compliance with the license", ["compliance with the license"]),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", ["under the license", "as is basis"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ["free software", "gnu general public license"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products", "prior written permission"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["permission is granted to anyone"]),
 ]
 TRIGGER = r"(?i)licen[sc]e|permission|redistribution"
 #: Words of a template in the index, the rarest first, and the share of them that must agree.
@@ -49,7 +57,13 @@ SLACK = 2
 
 
 def index() -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
-    """Postings (word, template, offset), and for each template its anchors and those needed."""
+    """Postings (word, template, offset), and for each template its anchors and those needed.
+
+    Only texts in which TRIGGER finds a word are split, so a template without one would never match: it is refused.
+    """
+    for label, _, phrases in TEMPLATES:
+        if not any(re.search(TRIGGER, k) for k in phrases):
+            raise ValueError(f"no key phrase of {label} has a word that starts a scan")
     split = [t.split() for _, t, _ in TEMPLATES]
     df = Counter(w for ws in split for w in set(ws))
     postings, sizes = [], []
