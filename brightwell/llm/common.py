@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,8 @@ def written(df: DataFrame, name: str = "t", options: dict[str, str] | None = Non
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike a local checkpoint this survives the loss of any executor.  ``reclaim``, for jobs with
-    large shuffles, lets the driver's collector find at once that nothing uses their files.
+    large shuffles, lets the driver's collector find at once that nothing uses their files.  The
+    table stays until ``discard`` or the end of a ``scope``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}-{name}"
@@ -74,7 +76,41 @@ def written(df: DataFrame, name: str = "t", options: dict[str, str] | None = Non
     if reclaim:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    return out
+
+
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a ``written`` table that no plan needs any more."""
+    _delete(table.sparkSession, table.scratch_path)
+
+
+@contextmanager
+def scope(*kept: str) -> Iterator[None]:
+    """At its end the tables written inside are deleted, but those with a name in ``kept``: the result's own."""
+    mine: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for spark, path in mine:
+            if path.rsplit("-", 1)[-1] in kept:
+                if _SCOPES:
+                    _SCOPES[-1].append((spark, path))
+            else:
+                _delete(spark, path)
 
 
 def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None) -> DataFrame:

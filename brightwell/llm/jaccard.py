@@ -41,6 +41,8 @@ ROUNDS = 3
 MORE = 5
 #: Pairs of one leader that are verified in one task.
 LEADER_PAIRS = 500
+#: Copies of each hot key where these are too many to broadcast.
+SPREAD = 64
 #: Classes that a task of the prefix scan remembers, to emit copies only once.
 SEEN = 200_000
 _ODD = np.random.default_rng(7).integers(0, 2**63, WIDTH + ROUNDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,13 +162,37 @@ def sets_of(docs: DataFrame, some: DataFrame, distinct_ids: bool) -> DataFrame:
     return common.written(out if distinct_ids else out.dropDuplicates(["id", "n", "toks"]), "sets")
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """``key, copies`` of the keys with ``LEADER_PAIRS`` rows or more: into how many parts their rows are dealt."""
+    often = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= LEADER_PAIRS)
+    return common.written(often.select(key, (F.floor(F.col("n") / LEADER_PAIRS) + 1).cast("int").alias("copies")), "hot")
+
+
+def salted(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with ``salt``: 0, but for a hot key by a hash of ``by``.  No task gets all rows of a key.
+
+    The hot keys are broadcast where they are few; else each is copied ``SPREAD`` times, and the rows are dealt to the copies.
+    """
+    if hot.count() <= common.BROADCAST_ROWS:
+        out = rows.join(F.broadcast(hot), key, "left")
+    else:
+        spread = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        out = rows.withColumn("part", F.pmod(F.hash(by), F.lit(SPREAD))).join(spread, [key, "part"], "left").drop("part")
+    return out.withColumn("salt", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("copies"))).cast("int")).drop("copies")
+
+
+def copied(table: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``table``, which has each key once, with one row for each ``salt`` of its key."""
+    out = common.joined(table, hot, key, "left")
+    return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs (a, b)`` that link.  A ``b`` with many pairs is copied, so that its pairs go to several tasks."""
-    copies = F.floor(F.col("pairs") / LEADER_PAIRS)
-    often = pairs.groupBy("b").agg(F.count("*").alias("pairs"))
-    left = pairs.join(often, "b").select("a", "b", F.pmod(F.hash("a"), copies + 1).cast("int").alias("salt"))
-    leaders = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb")).join(often, "b")
-    leaders = leaders.select("b", "nb", "tb", F.explode(F.sequence(F.lit(0), copies.cast("int"))).alias("salt"))
+    hot = hot_keys(pairs, "b")
+    left = salted(pairs.select("a", "b"), hot, "b", "a")
+    leaders = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb")).join(pairs.select("b").distinct(), "b")
+    leaders = copied(leaders, hot, "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta")), "a").join(leaders, ["b", "salt"])
     both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select("a", "b")
@@ -176,18 +202,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``id, component``: the smallest id that each node of ``edges (a, b)`` reaches.
 
     Labels go along edges and then jump to their label's label, so the rounds grow with the
-    logarithm of a component's diameter.  Each round is written to the shared folder.
+    logarithm of a component's diameter.  A node with many edges is copied, so that they go to several
+    tasks.  Each round is written to the shared folder and the one before is deleted.
     """
     edges = common.written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    hot = hot_keys(edges, "b")
+    edges = common.written(salted(edges, hot, "b", "a"), "edges")
     labels = common.written(edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), name)
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        near = edges.join(copied(labels.select(F.col("id").alias("b"), F.col("component").alias("other")), hot, "b"), ["b", "salt"])
+        near = near.groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         step = labels.join(near, "id").select("id", F.least("component", "other").alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
         new = common.written(step.join(jump, "next").select("id", F.least("next", "far").alias("component"), (F.least("next", "far") < F.col("was")).alias("moved")), name)
-        labels = new.select("id", "component")
+        common.discard(labels)
+        labels = new
         if new.filter("moved").isEmpty():
-            return labels
+            return new.select("id", "component")
 
 
 def grouped(sets: DataFrame) -> DataFrame:
@@ -246,7 +277,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     one node, which links by any of its texts, and each has its row in the result.  An empty table
     gives an empty result.  Further columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    with common.scope("keys", "classes", "components"):
+        return _jaccard_components(docs.select("doc_id", "text"))
+
+
+def _jaccard_components(docs: DataFrame) -> DataFrame:
     keys = common.written(class_keys(docs), "keys")
     classes = keys.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
     classes = common.written(classes, "classes")
@@ -264,9 +299,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with all their columns; repeated rows of it stay one."""
-    found = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of ``docs``, with all its columns: that of its smallest doc_id.
+
+    Of several rows with that doc_id the one whose text has the smallest hash stays, so repeated rows
+    stay once.  Rows without a doc_id link with nothing; of those with an equal text one stays.  An
+    empty table gives an empty result; columns of any name are carried along.
+    """
+    found = common.written(jaccard_components(docs).select("doc_id", "component_id"), "found")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # pre-aggregated in each task, so a doc_id or a text may be in any number of rows
+    one = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(F.struct("*"), F.xxhash64("text")).alias("kept_row")).select("kept_row.*")
+    twice = common.written(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    n = twice.count()
+    if n:
+        kept = kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one(common.joined(kept, twice, "doc_id", "left_semi", n).select(docs.columns), "doc_id"))
+    if not found.filter("doc_id is null").isEmpty():
+        kept = kept.filter("doc_id is not null").unionByName(one(kept.filter("doc_id is null"), F.xxhash64("text"), F.sha2("text", 256)))
+    return kept
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
