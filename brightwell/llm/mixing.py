@@ -4,7 +4,7 @@ Token totals by cell (source, language, topic) are raked until they have the tar
 each document is then kept with a probability in proportion to its cell's raked weight, calibrated
 so that the expected tokens meet the budget, and drawn by a hash of its id.  A probability ends at 1:
 where the budget asks more of a cell than it has, the targets are missed, and ``marginals`` tells by how
-much.  Where the table has no topic, ``topic`` guesses a form of text from three substrings.
+much.  Where no topic is given, ``topic`` guesses a form of text from three substrings.
 
 Only the cells' totals leave the executors.  Up to ``MAX_CELLS`` of them (a checked bound) are raked
 on the driver and broadcast; more are raked as a table.
@@ -33,11 +33,16 @@ def topic(text: Column) -> Column:
     return F.when(t.contains(" | "), "table").when(t.contains("icense"), "notice").when(t.contains("@"), "contact").otherwise("prose")
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``mix_source, mix_lang, mix_topic`` (null as '') and ``mix_tokens`` (words between ASCII blanks)."""
-    own = F.col("topic") if "topic" in docs.columns else topic(F.col("text"))
+def with_cells(docs: DataFrame, own_topic: Column | None = None) -> DataFrame:
+    """Each row as ``row``, with ``mix_source, mix_lang, mix_topic`` (null as '') and ``mix_tokens`` (words between ASCII blanks).
+
+    ``own_topic`` is the table's topic, if it has one; else it is guessed from the text.  The row is
+    one column, so the names of ``docs`` can't clash with those made here.
+    """
+    own = topic(F.col("text")) if own_topic is None else own_topic
     parts = {f"mix_{s}": F.coalesce(c.cast("string"), F.lit("")) for s, c in zip(SIDES, (F.col("source"), F.col("lang"), own), strict=True)}
-    return docs.withColumns(parts | {"mix_tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")})
+    tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in parts.items()], tokens.alias("mix_tokens"))
 
 
 def shares(totals: dict[str, float], targets: dict[str, float] | None) -> dict[str, float]:
@@ -79,7 +84,11 @@ def calibrated(tokens: np.ndarray, v: np.ndarray, budget: float) -> list[float]:
 
 
 def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
-    """The same for more cells than the driver takes: windows over the cells' table, written each round."""
+    """The same for more cells than the driver takes: sums by value, joined back, written each round.
+
+    A side may have as many values as cells, so its sums are a table too; they are made by partial
+    sums, and a value's cells are never in one task.
+    """
     names = [f"mix_{s}" for s in SIDES]
     total = cells.agg(F.sum("tokens")).first()[0]
     for n, side in zip(names, SIDES, strict=True):
@@ -88,40 +97,45 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], keep: flo
         raw = F.pow("own", F.lit(TEMPER)) if given is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(n)), F.lit(0.0))
         sums = sums.withColumn("raw", raw)
         whole = sums.agg(F.sum("raw")).first()[0]
-        cells = cells.join(sums.select(n, (F.col("raw") / whole * total).alias(f"goal_{side}")), n)
+        cells = common.joined(cells, sums.select(n, (F.col("raw") / whole * total).alias(f"goal_{side}")), n)
     cells = common.written(cells.withColumn("v", F.col("tokens").cast("double")), "cells")
+    values = {n: cells.select(n).distinct().count() for n in names}
     for _ in range(ROUNDS):
+        before = cells
         for n, side in zip(names, SIDES, strict=True):
-            cells = cells.withColumn("v", F.coalesce(F.try_divide(F.col("v") * F.col(f"goal_{side}"), F.sum("v").over(W.partitionBy(n))), F.lit(0.0)))
+            now = cells.groupBy(n).agg(F.sum("v").alias("now"))
+            cells = common.joined(cells, now, n, rows=values[n]).withColumn("v", F.coalesce(F.try_divide(F.col("v") * F.col(f"goal_{side}"), F.col("now")), F.lit(0.0))).drop("now")
         cells = common.written(cells, "cells")
+        common.discard(before)
     low, high = 0.0, 1e12
     expected = lambda c: cells.agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("v") * c))).first()[0]
     for _ in range(60):
         mid = (low * high) ** 0.5 if low > 0 else high / 1e6
         low, high = (mid, high) if expected(mid) < keep * total else (low, mid)
-    return cells.select(*names, F.least(F.lit(1.0), F.col("v") / F.col("tokens") * high).alias("prob"))
+    return cells.select(*names, F.least(F.lit(1.0), F.col("v") / F.col("tokens") * high).alias("mix_p"))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
-    """``docs`` (see ``with_cells``) with ``mix_prob`` and ``mix_kept``.
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, own_topic: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` (see ``with_cells``) with ``mix_prob`` and ``mix_kept``.
 
     ``targets`` has a share by value for any of source, lang, topic.  A text without words costs
-    nothing and is kept.  Rows with the same doc_id share its draw; a null doc_id counts as ''.
+    nothing and is kept.  Rows with the same doc_id share its draw; a null doc_id counts as ''.  An
+    empty table gives an empty result; columns of any name are carried in ``row``.
     """
-    full = with_cells(docs)
+    full = with_cells(docs, own_topic)
     names = [f"mix_{s}" for s in SIDES]
     cells = common.written(full.filter("mix_tokens > 0").groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     n = cells.count()
     if n <= MAX_CELLS:
         rows = [tuple(r) for r in cells.orderBy(*names).collect()]
         probs = rake(rows, targets or {}, keep) if rows else []
-        table = docs.sparkSession.createDataFrame([(*r[:3], p) for r, p in zip(rows, probs, strict=True)], ", ".join(f"{x} string" for x in names) + ", prob double")
+        table = docs.sparkSession.createDataFrame([(*r[:3], p) for r, p in zip(rows, probs, strict=True)], ", ".join(f"{x} string" for x in names) + ", mix_p double")
     else:
         table = rake_table(cells, targets or {}, keep)
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     out = common.joined(full, table, names, "left", n)
-    prob = F.when(F.col("mix_tokens") > 0, F.col("prob")).otherwise(1.0)
-    return out.withColumn("mix_prob", prob).withColumn("mix_kept", draw < F.col("mix_prob")).drop("prob")
+    prob = F.when(F.col("mix_tokens") > 0, F.col("mix_p")).otherwise(1.0)
+    return out.withColumn("mix_prob", prob).withColumn("mix_kept", draw < F.col("mix_prob")).drop("mix_p")
 
 
 def marginals(probs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -141,14 +155,14 @@ def marginals(probs: DataFrame, targets: dict[str, dict[str, float]] | None = No
     return out
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, own_topic: Column | None = None) -> DataFrame:
     """The drawn rows, with the columns of ``docs``."""
-    return probabilities(docs, targets, keep).filter("mix_kept").select(docs.columns)
+    return probabilities(docs, targets, keep, own_topic).filter("mix_kept").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = probabilities(common.documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("kept"))
+    return out.select("row.doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("kept"))
 
 
 ORACLE = rf"""
