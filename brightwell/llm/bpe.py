@@ -17,6 +17,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -62,7 +63,6 @@ class BacktrackingBPE:
     def __init__(self, path: str):
         import ahocorasick
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -70,7 +70,7 @@ class BacktrackingBPE:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.inverse = {ord(c): b for b, c in self.alphabet.items()}
-        self.library = Tokenizer.from_file(path)  # for its Unicode tables; it doesn't encode here
+        self.path = path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         names = [""] * size
@@ -102,6 +102,13 @@ class BacktrackingBPE:
         self.blob = np.frombuffer(b"".join(texts), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
 
+    @cached_property
+    def library(self) -> object:
+        """For its Unicode tables, loaded when a text needs them; it doesn't encode here."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _symbols(token: str) -> str:
         return token[: -len(END) - 1] + chr(ord(token[-len(END) - 1]) + FINAL) if token.endswith(END) and len(token) > len(END) else token
@@ -236,14 +243,9 @@ class BacktrackingBPE:
         return self.blob[np.repeat(start - before, size) + np.arange(size.sum())].tobytes()[:-1]
 
 
-_LOADED: dict[str, BacktrackingBPE] = {}
-
-
 def encoder(path: str) -> BacktrackingBPE:
-    """One encoder per worker process and vocabulary."""
-    if path not in _LOADED:
-        _LOADED[path] = BacktrackingBPE(path)
-    return _LOADED[path]
+    """One encoder per worker process."""
+    return common.model(("bpe", path), lambda: BacktrackingBPE(path))
 
 
 def default_vocabulary() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Side tables up to this many rows (of a few dozen bytes) may be broadcast; larger ones are shuffle-joined.
 BROADCAST_ROWS = 200_000
+#: The same for tables of one id of 8 bytes (some 64 MB as a hash table).
+BROADCAST_IDS = 2_000_000
+#: Bytes of one Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows (and bytes, where Spark knows that setting) of each Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_MODEL: dict[tuple, object] = {}
+
+
+def model(key: tuple, make: Callable[[], object]) -> object:
+    """The vocabulary or model of a worker process, made once; another one's first use frees the one before.
+
+    Workers outlive a stage, and stages of several operators follow each other in them.
+    """
+    if key not in _MODEL:
+        if _MODEL:
+            _MODEL.clear()
+            gc.collect()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+        _MODEL[key] = make()
+    return _MODEL[key]
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[list]], schema: str) -> DataFrame:
@@ -113,7 +136,7 @@ def scope(*kept: str) -> Iterator[None]:
                 _delete(spark, path)
 
 
-def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join that broadcasts ``small`` only if its counted rows are within ``BROADCAST_ROWS``."""
+def joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, most: int | None = None) -> DataFrame:
+    """Join that broadcasts ``small`` only if its counted rows are within ``most`` (else ``BROADCAST_ROWS``)."""
     n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+    return big.join(F.broadcast(small) if n <= (BROADCAST_ROWS if most is None else most) else small, on, how)

@@ -306,8 +306,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     empty table gives an empty result; columns of any name are carried along.
     """
     found = common.written(jaccard_components(docs).select("doc_id", "component_id"), "found")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = common.written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = common.joined(docs, gone, "doc_id", "left_anti", most=common.BROADCAST_IDS).select(docs.columns)
     # pre-aggregated in each task, so a doc_id or a text may be in any number of rows
     one = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(F.struct("*"), F.xxhash64("text")).alias("kept_row")).select("kept_row.*")
     twice = common.written(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")

@@ -75,19 +75,19 @@ class Rules:
     default: Band = Band((0.3, 6.0), (0.8, 100.0), 0.95, 4.0)
 
 
-#: Letters of a script; the first of those with most letters is a text's script.
+#: Runs of a script's letters; the first of those with most letters is a text's script.
 SCRIPTS = {
-    "latin": re.compile("[A-Za-z\u00c0-\u024f]"),
-    "cyrillic": re.compile("[\u0400-\u052f]"),
-    "greek": re.compile("[\u0370-\u03ff]"),
-    "arabic": re.compile("[\u0600-\u06ff]"),
-    "east asian": re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"),
+    "latin": re.compile("[A-Za-z\u00c0-\u024f]+"),
+    "cyrillic": re.compile("[\u0400-\u052f]+"),
+    "greek": re.compile("[\u0370-\u03ff]+"),
+    "arabic": re.compile("[\u0600-\u06ff]+"),
+    "east asian": re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+"),
 }
 
 
 def script(text: str) -> str | None:
     """The script of most of the letters; None without a letter of these."""
-    counts = {k: len(p.findall(text)) for k, p in SCRIPTS.items()}
+    counts = {k: sum(map(len, p.findall(text))) for k, p in SCRIPTS.items()}
     best = max(counts, key=counts.get)
     return best if counts[best] else None
 
@@ -182,13 +182,9 @@ def in_band(measured: tuple[int, float, float, float, float], lang: str | None,
     )
 
 
-_METERS: dict[str, Meter] = {}
-
-
 def meter(path: str) -> Meter:
-    if path not in _METERS:
-        _METERS[path] = Meter(path)
-    return _METERS[path]
+    """One meter per worker process."""
+    return common.model(("meter", path), lambda: Meter(path))
 
 
 RESULT = (

@@ -77,14 +77,9 @@ def attributed(starts: np.ndarray, ends: np.ndarray, bounds: list[int]) -> tuple
     return np.bincount(first, minlength=n), crossing
 
 
-_SPANS: dict[str, Spans] = {}
-
-
 def spans(path: str) -> Spans:
-    """One encoder per worker process and vocabulary."""
-    if path not in _SPANS:
-        _SPANS[path] = Spans(path)
-    return _SPANS[path]
+    """One encoder per worker process."""
+    return common.model(("spans", path), lambda: Spans(path))
 
 
 def attribute(docs: DataFrame, path: str | None = None, fields: list[str] | None = None) -> DataFrame:
