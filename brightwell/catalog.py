@@ -88,16 +88,29 @@ PAIR = """CASE WHEN {when} AND a.cost IS NOT NULL THEN [x.anchor::INT, x.ord::IN
 # text
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'))::BIGINT AS n_tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\p{Lu}\p{L}{5,}'))), ',') AS entities FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'))::BIGINT AS n_tokens, array_to_string(list_sort(list_distinct([trim(regexp_replace(lower(e), '\s+', ' ', 'g')) FOR e IN regexp_extract_all(text, '\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*')])), ',') AS entities FROM documents")
 def text_functions(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(s, d, "documents").select("doc_id", T.normalize(t).alias("norm"), T.count_tokens(t).alias("n_tokens"), F.array_join(F.array_sort(T.entities(t)), ",").alias("entities"))
 
 
-@query(r"""SELECT item_id, CASE WHEN c AND r THEN 'bridge_comparison' WHEN c THEN 'direct_comparison' ELSE 'chained_reasoning' END AS route FROM (SELECT item_id,
-regexp_matches(text, '(?i)\b(both|same|older|younger|earlier|later|first|more|less|larger|smaller|which|compare|difference)\b') AS c, regexp_matches(text, '(?i)\b(director|father|mother|spouse|husband|wife|son|daughter|founder|author|composer|performer|capital|country)\b') AS r FROM benchmark)""")
+_ROUTES = """SELECT item_id, CASE WHEN c AND r THEN 'bridge_comparison' WHEN c THEN 'direct_comparison' ELSE 'chained_reasoning' END AS route, CASE WHEN c AND r2 THEN 'bridge_comparison' WHEN c THEN 'direct_comparison' ELSE 'chained_reasoning' END AS route_plural
+FROM (SELECT item_id, regexp_matches(text, '{c}') AS c, regexp_matches(text, '{r}') AS r, regexp_matches(text, '{p}') AS r2 FROM ({rows}))"""
+_CUES = r"(?i)\b(same|both|earlier|later|older|younger|first|more recently|higher|lower|larger|smaller|more|less|share)\b"
+_KIN = r"(?i)\b(director|author|writer|creator|producer|founder|owner|leader|father|mother|parent|grandfather|grandmother|son|daughter|child|wife|husband|spouse|brother|sister|coach|manager|president)\b"
+_KINS = r"(?i)\b((director|author|writer|creator|producer|founder|owner|leader|father|mother|parent|grandfather|grandmother|son|daughter|husband|spouse|brother|sister|manager|president)s?|child|children|wife|wives|coach|coaches)\b"
+#: The benchmark's questions have few cues, so each is also asked with every pair of a comparison and a relation word.
+_ASKED = "SELECT item_id * 100 + i * 10 + j AS item_id, text || ' ' || a || ' ' || b AS text FROM benchmark, (SELECT unnest(range(6)) AS i, unnest(['', 'both', 'More  recently', 'shared', 'less', 'FIRST']) AS a), (SELECT unnest(range(8)) AS j, unnest(['', 'directors', 'Mother', 'grandsons', 'children', 'capital', 'coach of', 'wives']) AS b)"
+
+
+@query(_ROUTES.format(c=_CUES, r=_KIN, p=_KINS, rows=_ASKED))
 def route_questions(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "benchmark").select("item_id", T.route(F.col("text")).alias("route"))
+    """Both routers over the questions as they are and with cue words added."""
+    words = lambda *v: F.posexplode(F.array(*map(F.lit, v)))
+    q = table(s, d, "benchmark").select("item_id", "text", words("", "both", "More  recently", "shared", "less", "FIRST").alias("i", "a"))
+    q = q.select("item_id", "text", "i", "a", words("", "directors", "Mother", "grandsons", "children", "capital", "coach of", "wives").alias("j", "b"))
+    text = F.concat("text", F.lit(" "), "a", F.lit(" "), "b")
+    return q.select((F.col("item_id") * 100 + F.col("i") * 10 + F.col("j")).alias("item_id"), T.route(text).alias("route"), T.route(text, T.RELATION_PLURAL).alias("route_plural"))
 
 
 _ARTICLE = r"'(^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:a|an|the)([^\p{{L}}\p{{M}}\p{{N}}_]|$)', '\1 \2', 'g'"
@@ -123,14 +136,43 @@ def calibrate_confidence(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(T.calibrate(F.col("l_discount"), 1.5), 6).alias("confidence"))
 
 
-@query(r"""WITH k AS (SELECT p_partkey, p_brand, p_name, [x FOR x IN list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) IF x NOT IN ('a','an','and','director','film','of','saint','st','the','king','queen','prince','princess','sultan')] AS t FROM part)
+_FOLD = r"strip_accents(replace(lower({0}), 'ß', 'ss'))"
+_BARE = r"regexp_replace({0}, '\s*\([^()]*\)\s*$', '')"
+_KEY = "regexp_replace(" + _FOLD.format(r"regexp_replace(" + _BARE + r", '^\s*(?:king|queen|prince|princess|dr\.?|sir)\s+', '', 'i')") + r", '[^\p{{L}}\p{{N}}]', '', 'g')"
+_TOKENS = "[x FOR x IN list_distinct(regexp_extract_all(" + _FOLD.format(_BARE) + ", '[a-z0-9]+')) IF x NOT IN ('a','an','and','director','film','of','saint','st','the','king','queen','prince','princess','sultan')]"
+#: Part names in the forms that aliases come in.
+_ALIASED = "SELECT p_partkey, p_brand, CASE p_partkey % 5 WHEN 0 THEN 'Dr. ' || p_name WHEN 1 THEN p_name || ' (film)' WHEN 2 THEN upper(p_name) WHEN 3 THEN replace(p_name, 'e', 'é') ELSE p_name END AS name FROM part"
+
+
+@query(f"""WITH a AS ({_ALIASED}), k AS (SELECT p_partkey, p_brand, {_KEY.format('name')} AS key, {_TOKENS.format('name')} AS t FROM a)
 SELECT a.p_brand, count(*)::BIGINT AS pairs FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
-WHERE trim(regexp_replace(lower(a.p_name), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')) = trim(regexp_replace(lower(b.p_name), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')) OR len(list_intersect(a.t, b.t)) >= 2 OR len([x FOR x IN list_intersect(a.t, b.t) IF length(x) >= 6]) > 0 GROUP BY 1""")
+WHERE a.key = b.key OR len(list_intersect(a.t, b.t)) >= 2 OR len([x FOR x IN list_intersect(a.t, b.t) IF length(x) >= 6]) > 0 GROUP BY 1""")
 def alias_match_pairs(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "part").select("p_partkey", "p_brand", "p_name")
+    k, n = F.col("p_partkey") % 5, F.col("p_name")
+    name = F.when(k == 0, F.concat(F.lit("Dr. "), n)).when(k == 1, F.concat(n, F.lit(" (film)"))).when(k == 2, F.upper(n)).when(k == 3, F.replace(n, F.lit("e"), F.lit("é"))).otherwise(n)
+    p = table(s, d, "part").select("p_partkey", "p_brand", T.alias(name).alias("k"))
     a, b = p.alias("a"), p.alias("b")
     j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.filter(T.alias_match(F.col("a.p_name"), F.col("b.p_name"))).groupBy(F.col("a.p_brand").alias("p_brand")).agg(F.count("*").alias("pairs"))
+    return j.filter(T.alias_same(F.col("a.k"), F.col("b.k"))).groupBy(F.col("a.p_brand").alias("p_brand")).agg(F.count("*").alias("pairs"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, name, {_KEY.format('name')} AS key, {_TOKENS.format('name')} AS tokens FROM ({_ALIASED}))
+SELECT p_partkey, key, array_to_string(list_sort(tokens), ',') AS tokens FROM t""")
+def alias_keys(s: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 5, F.col("p_name")
+    name = F.when(k == 0, F.concat(F.lit("Dr. "), n)).when(k == 1, F.concat(n, F.lit(" (film)"))).when(k == 2, F.upper(n)).when(k == 3, F.replace(n, F.lit("e"), F.lit("é"))).otherwise(n)
+    return table(s, d, "part").select("p_partkey", T.canonical_key(name).alias("key"), F.array_join(F.array_sort(T.alias_tokens(name)), ",").alias("tokens"))
+
+
+@query(r"""WITH t AS (SELECT item_id % 10 AS g, text FROM benchmark), q AS (SELECT item_id, item_id % 10 AS g, trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')) AS q FROM benchmark),
+w AS (SELECT DISTINCT g, unnest(string_split(text, ' ')[1:6]) AS title FROM t), n AS (SELECT g, title, trim(regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')) AS n FROM w)
+SELECT item_id, string_agg(title, '|' ORDER BY strpos(q, n), title) AS titles FROM q JOIN n ON q.g = n.g AND n <> '' AND contains(q, n) GROUP BY 1""")
+def mentioned_titles(s: SparkSession, d: str) -> DataFrame:
+    """Titles are the first words of ten questions at a time."""
+    q = table(s, d, "benchmark").withColumn("g", F.col("item_id") % 10)
+    w = q.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list(F.slice(F.split("text", " "), 1, 6)))).alias("titles"))
+    out = q.join(w, "g").select("item_id", T.mentioned_titles(F.col("text"), F.col("titles")).alias("t"))
+    return out.filter(F.size("t") > 0).select("item_id", F.array_join("t", "|").alias("titles"))
 
 
 # sources
@@ -147,7 +189,7 @@ def passage_dedup(s: SparkSession, d: str) -> DataFrame:
     return multihop.deduplicated(p).select(F.col("passage_ord").alias("doc_id"))
 
 
-@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'evaluation' ELSE 'development' END AS role FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)".replace("l.doc_id IS NULL", "l.doc_id IS NULL"))
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'evaluation' ELSE 'development' END AS role FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def manifest_split(s: SparkSession, d: str) -> DataFrame:
     out = multihop.split(table(s, d, "documents").select(F.col("doc_id").alias("qid")), table(s, d, "labels").select(F.col("doc_id").alias("qid")))
     return out.select(F.col("qid").alias("doc_id"), "role")
@@ -175,15 +217,21 @@ def stratified_quota_sample(s: SparkSession, d: str) -> DataFrame:
 
 # graph
 
-OVERLAP = r"""ent AS (SELECT qid, node_ord, title, unnest(list_distinct(regexp_extract_all(text, '\p{Lu}\p{L}{5,}'))) AS e FROM nodes),
+_ENTITIES = r"list_distinct([trim(regexp_replace(lower(e), '\s+', ' ', 'g')) FOR e IN regexp_extract_all(text, '\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*')])"
+OVERLAP = f"""ent AS (SELECT qid, node_ord, title, unnest({_ENTITIES}) AS e FROM nodes),
 eo AS (SELECT DISTINCT a.qid, a.node_ord AS src, b.node_ord AS dst FROM ent a JOIN ent b ON a.qid = b.qid AND a.e = b.e AND a.node_ord < b.node_ord AND a.title <> b.title)"""
 ADJ = "adj AS (SELECT qid, node_ord AS src, lead(node_ord) OVER (PARTITION BY qid, passage_ord ORDER BY sent_id) AS dst FROM nodes QUALIFY dst IS NOT NULL)"
-EDGES = f"{OVERLAP}, {ADJ}, edges AS (SELECT qid, src, dst, string_agg(kind, ',' ORDER BY kind) AS kinds, 1.0 AS weight FROM (SELECT *, 'entity_overlap' AS kind FROM eo UNION ALL SELECT *, 'same_passage' FROM adj) GROUP BY ALL)"
+_MENTION = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g')) AS {1}n, " + _KEY.replace("{0}", "{0}") + " AS {1}k, " + _TOKENS + " AS {1}t"
+MENTION = f"""mt AS (SELECT qid, title, {_MENTION.format('title', 't')} FROM (SELECT DISTINCT qid, title FROM nodes)), mx AS (SELECT qid, node_ord, title, {_MENTION.format('text', 'x')} FROM nodes),
+tm AS (SELECT x.qid, x.node_ord AS src, n.node_ord AS dst FROM mx x JOIN mt t ON x.qid = t.qid AND x.title <> t.title AND (contains(xn, tn) OR (length(tk) >= 5 AND contains(xk, tk)) OR len(list_intersect(xt, tt)) >= 2 OR len([y FOR y IN list_intersect(xt, tt) IF length(y) >= 6]) > 0)
+  JOIN nodes n ON n.qid = t.qid AND n.title = t.title)"""
+EDGES = f"""{OVERLAP}, {ADJ}, {MENTION}, edges AS (SELECT qid, least(src, dst) AS src, greatest(src, dst) AS dst, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, max(w) AS weight, min(phase * 1000000000000 + src * 1000000 + dst) AS seq
+  FROM (SELECT *, 'entity_overlap' AS kind, 1.0 AS w, 1 AS phase FROM eo UNION ALL SELECT *, 'same_passage', 1.0, 0 FROM adj UNION ALL SELECT *, 'title_mention', 2.0, 2 FROM tm) GROUP BY 1, 2, 3)"""
 
 
 def edge_view(s: SparkSession, d: str) -> DataFrame:
     n = node_view(s, d)
-    return graph.merged(graph.adjacency(n), graph.entity_overlap(n))
+    return graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n))
 
 
 @query(f"WITH {NODES}, {ADJ} SELECT qid, src, dst FROM adj")
@@ -196,17 +244,38 @@ def entity_overlap_edges(s: SparkSession, d: str) -> DataFrame:
     return graph.entity_overlap(node_view(s, d)).select("qid", "src", "dst")
 
 
+@query("WITH " + NODES.replace("source || '-' || doc_id AS title", "array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' ') AS title") + f", {MENTION} SELECT * FROM tm")
+def title_mention_edges(s: SparkSession, d: str) -> DataFrame:
+    """A passage is called by its first three words, so that others mention it."""
+    return graph.title_mention(three_word_titles(s, d)).select("qid", "src", "dst")
+
+
 @query(f"WITH {NODES}, {EDGES} SELECT qid, src, dst, kinds, weight::DOUBLE AS weight FROM edges")
 def merged_edges(s: SparkSession, d: str) -> DataFrame:
     return edge_view(s, d).select("qid", "src", "dst", "kinds", "weight")
 
 
-SEEDS = ", seeds AS (SELECT qid, node_ord, semantic FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord) <= 5)"
-HOPS = """, arcs AS (SELECT qid, src, dst FROM edges UNION ALL SELECT qid, dst, src FROM edges), h1 AS (SELECT DISTINCT qid, dst AS node_ord FROM arcs JOIN seeds ON arcs.qid = seeds.qid AND src = node_ord),
-h1 AS (SELECT 1), """.split("h1 AS (SELECT 1)")[0].rstrip(", \n") + """, r1 AS (SELECT qid, node_ord, min(hop) AS hop FROM (SELECT qid, node_ord, 0 AS hop FROM seeds UNION ALL SELECT qid, node_ord, 1 FROM h1) GROUP BY ALL),
+TYPED = """typed AS (SELECT qid, src, dst, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT qid, src, dst, 'next' AS kind FROM adj UNION ALL SELECT qid, dst, src, 'previous' FROM adj
+  UNION ALL SELECT qid, src, dst, 'entity_coreference' FROM eo UNION ALL SELECT qid, dst, src, 'entity_coreference' FROM eo UNION ALL SELECT qid, src, dst, 'title_mention' FROM tm) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {NODES}, {OVERLAP}, {ADJ}, {MENTION}, {TYPED} SELECT * FROM typed")
+def typed_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.typed(node_view(s, d)).withColumn("kinds", F.array_join("kinds", ","))
+
+
+SEEDS = ", seeds AS (SELECT qid, node_ord, semantic, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord) AS rank FROM scored QUALIFY rank <= 5)"
+HOPS = """, arcs AS (SELECT qid, src, dst, seq FROM edges UNION ALL SELECT qid, dst, src, seq FROM edges), h1 AS (SELECT DISTINCT arcs.qid, dst AS node_ord FROM arcs JOIN seeds ON arcs.qid = seeds.qid AND src = node_ord),
+r1 AS (SELECT qid, node_ord, min(hop) AS hop FROM (SELECT qid, node_ord, 0 AS hop FROM seeds UNION ALL SELECT qid, node_ord, 1 FROM h1) GROUP BY ALL),
 h2 AS (SELECT DISTINCT arcs.qid, dst AS node_ord FROM arcs JOIN r1 ON arcs.qid = r1.qid AND src = node_ord WHERE hop = 1),
 r2 AS (SELECT qid, node_ord, min(hop) AS hop FROM (SELECT * FROM r1 UNION ALL SELECT qid, node_ord, 2 FROM h2) GROUP BY ALL)"""
-HOPS = HOPS.replace("SELECT DISTINCT qid, dst AS node_ord FROM arcs JOIN seeds", "SELECT DISTINCT arcs.qid, dst AS node_ord FROM arcs JOIN seeds")
+#: Breadth-first with the parent that discovers a node first: (its place, the edge's place) as one number.
+DISCOVERED = """, b0 AS (SELECT qid, node_ord, rank AS disc, 0 AS hop, [node_ord] AS path FROM seeds),
+b1 AS (SELECT qid, node_ord, row_number() OVER (PARTITION BY qid ORDER BY way) AS disc, 1 AS hop, path FROM (SELECT a.qid, a.dst AS node_ord, min(disc::HUGEINT * 10000000000000 + seq) AS way, arg_min(list_append(path, a.dst), disc::HUGEINT * 10000000000000 + seq) AS path
+  FROM b0 JOIN arcs a ON a.qid = b0.qid AND a.src = b0.node_ord WHERE NOT EXISTS (SELECT 1 FROM b0 o WHERE o.qid = a.qid AND o.node_ord = a.dst) GROUP BY 1, 2)),
+b2 AS (SELECT qid, node_ord, row_number() OVER (PARTITION BY qid ORDER BY way) AS disc, 2 AS hop, path FROM (SELECT a.qid, a.dst AS node_ord, min(disc::HUGEINT * 10000000000000 + seq) AS way, arg_min(list_append(path, a.dst), disc::HUGEINT * 10000000000000 + seq) AS path
+  FROM b1 JOIN arcs a ON a.qid = b1.qid AND a.src = b1.node_ord WHERE NOT EXISTS (SELECT 1 FROM (SELECT qid, node_ord FROM b0 UNION ALL SELECT qid, node_ord FROM b1) o WHERE o.qid = a.qid AND o.node_ord = a.dst) GROUP BY 1, 2)),
+found AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2)"""
 
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS} SELECT qid, node_ord, hop FROM r2")
@@ -215,6 +284,20 @@ def bfs_min_hop(s: SparkSession, d: str) -> DataFrame:
     return graph.hops(edge_view(s, d), methods.seeds(sc), 2)
 
 
+@query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}{DISCOVERED} SELECT qid, node_ord, hop, disc::BIGINT AS disc, array_to_string(path, '-') AS path FROM found")
+def bfs_paths(s: SparkSession, d: str) -> DataFrame:
+    seeds = methods.seeds(methods.scored(questions(s, d), node_view(s, d))).select("qid", "node_ord", "rank")
+    return graph.paths_from_seeds(edge_view(s, d), seeds, 2).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+
+
+@query(f"""WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS} SELECT r1.qid, r1.node_ord, count(p.node_ord)::BIGINT AS n, coalesce(md5(string_agg(CASE WHEN p.node_ord IS NOT NULL THEN a.dst END, ',' ORDER BY a.seq, a.dst)), md5('')) AS neighbours
+FROM r1 LEFT JOIN arcs a ON a.qid = r1.qid AND a.src = r1.node_ord LEFT JOIN r1 p ON p.qid = a.qid AND p.node_ord = a.dst GROUP BY 1, 2""")
+def pool_neighbours(s: SparkSession, d: str) -> DataFrame:
+    e = edge_view(s, d)
+    pool = graph.hops(e, methods.seeds(methods.scored(questions(s, d), node_view(s, d))), 1)
+    return graph.neighbours(e, pool).select("qid", "node_ord", F.size("neighbours").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",")).alias("neighbours"))
+
+
 @query()
 def ppr_scores(s: SparkSession, d: str) -> DataFrame:
     sc = methods.seeds(methods.scored(questions(s, d), node_view(s, d)))
@@ -222,17 +305,6 @@ def ppr_scores(s: SparkSession, d: str) -> DataFrame:
     return graph.pool_normalised(out).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH e AS (SELECT DISTINCT 0 AS qid, ps.l_partkey % 200 AS src, 1000 + ps.l_suppkey % 50 AS dst FROM lineitem ps), arcs AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
-t AS (SELECT DISTINCT src AS s FROM e WHERE src < 5), p2 AS (SELECT s, a.dst AS m, b.dst AS t FROM t JOIN arcs a ON a.src = s JOIN arcs b ON b.src = a.dst WHERE b.dst <> s AND b.dst < 5 AND s < b.dst)
-SELECT s AS src, t AS dst, 2 AS hops, s || '-' || m || '-' || t AS path, row_number() OVER (PARTITION BY s, t ORDER BY m)::INT AS path_rank FROM p2 QUALIFY path_rank <= 3""")
-def simple_paths_k(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "lineitem").select(F.lit(0).alias("qid"), F.pmod("l_partkey", F.lit(200)).alias("src"), (1000 + F.pmod("l_suppkey", F.lit(50))).alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    ends = e.select("src").filter("src < 5").distinct()
-    pairs = ends.join(ends.select(F.col("src").alias("dst")), F.col("src") < F.col("dst")).select(F.lit(0).alias("qid"), "src", "dst")
-    out = graph.simple_paths(e, pairs, 2, 3)
-    return out.select("src", "dst", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "path_rank")
-
-
 @query()
 def document_paths_k(s: SparkSession, d: str) -> DataFrame:
     """Up to 3 shortest paths of at most 3 hops between all pairs of each question's seeds, over the whole document view."""
@@ -241,6 +313,38 @@ def document_paths_k(s: SparkSession, d: str) -> DataFrame:
     return graph.simple_paths(edge_view(s, d), pairs, 3, 3)
 
 
+_PAIRS2 = """sp AS (SELECT a.qid, a.node_ord AS src, b.node_ord AS dst FROM seeds a JOIN seeds b ON a.qid = b.qid),
+walks AS (SELECT qid, src, dst, [src] AS path, 0 AS hops FROM sp WHERE src = dst UNION ALL SELECT sp.qid, sp.src, sp.dst, [sp.src, sp.dst], 1 FROM sp JOIN typed t ON t.qid = sp.qid AND t.src = sp.src AND t.dst = sp.dst WHERE sp.src <> sp.dst
+  UNION ALL SELECT sp.qid, sp.src, sp.dst, [sp.src, t.dst, sp.dst], 2 FROM sp JOIN typed t ON t.qid = sp.qid AND t.src = sp.src JOIN typed u ON u.qid = t.qid AND u.src = t.dst AND u.dst = sp.dst WHERE sp.src <> sp.dst AND t.dst <> sp.dst AND t.dst <> sp.src),
+paths AS (SELECT *, row_number() OVER (PARTITION BY qid, src, dst ORDER BY hops, path) AS path_rank FROM walks QUALIFY path_rank <= 3)"""
+
+
+def seed_paths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = node_view(s, d)
+    e = graph.typed(n)
+    seeds = methods.seeds(methods.scored(questions(s, d), n)).select("qid", F.col("node_ord").alias("src"))
+    pairs = seeds.join(seeds.select("qid", F.col("src").alias("dst")), "qid")
+    return graph.directed_paths(e, pairs, 2, 3), e, n
+
+
+@query(f"WITH {NODES}{SCORED}, {OVERLAP}, {ADJ}, {MENTION}, {TYPED}{SEEDS}, {_PAIRS2} SELECT qid, src, dst, hops, array_to_string(path, '-') AS path, path_rank::INT AS path_rank FROM paths")
+def typed_paths_k(s: SparkSession, d: str) -> DataFrame:
+    """Up to 3 directed paths of at most 2 hops between any two seeds of a question."""
+    paths, _, _ = seed_paths(s, d)
+    return paths.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+
+
+@query(f"""WITH {NODES}{SCORED}, {OVERLAP}, {ADJ}, {MENTION}, {TYPED}{SEEDS}, {_PAIRS2}, each AS (SELECT DISTINCT qid, path FROM paths),
+steps AS (SELECT qid, path, path[i] AS src, path[i + 1] AS dst FROM (SELECT *, unnest(range(1, len(path))) AS i FROM each)), es AS (SELECT qid, node_ord, e FROM ent),
+vals AS (SELECT e.qid, e.path, es.e AS v FROM each e JOIN es ON es.qid = e.qid AND es.node_ord = e.path[1] WHERE len(e.path) = 1
+  UNION SELECT p.qid, p.path, n.title FROM steps p JOIN tm ON tm.qid = p.qid AND tm.src = p.src AND tm.dst = p.dst JOIN nodes n ON n.qid = p.qid AND n.node_ord = p.dst
+  UNION SELECT p.qid, p.path, a.e FROM steps p JOIN es a ON a.qid = p.qid AND a.node_ord = p.src JOIN es b ON b.qid = p.qid AND b.node_ord = p.dst AND a.e = b.e JOIN typed t ON t.qid = p.qid AND t.src = p.src AND t.dst = p.dst AND contains(t.kinds, 'entity_coreference'))
+SELECT e.qid, array_to_string(e.path, '-') AS path, md5(coalesce(string_agg(v, '|' ORDER BY encode(v)), '')) AS vals FROM each e LEFT JOIN vals USING (qid, path) GROUP BY 1, 2""")
+def path_grounding(s: SparkSession, d: str) -> DataFrame:
+    out = graph.grounded_values(*seed_paths(s, d))
+    return out.select("qid", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), F.md5(F.array_join("values", "|")).alias("vals"))
+
+
 # retrieval
 
 
@@ -278,13 +382,29 @@ def anchors_distinct_title(s: SparkSession, d: str) -> DataFrame:
     return methods.anchors(methods.scored(questions(s, d), node_view(s, d))).select("qid", "node_ord", "title", "semantic", "anchor_rank")
 
 
-@query(f"""WITH {NODES}{SCORED}, {EDGES}{ANCH}, arcs AS (SELECT qid, src, dst FROM edges UNION ALL SELECT qid, dst, src FROM edges),
-j AS (SELECT a.qid, a.node_ord AS anchor, a.anchor_rank, s.node_ord, round((s.semantic + a.semantic) / 2, 6) AS cond, s.semantic FROM anch a JOIN arcs e ON e.qid = a.qid AND e.src = a.node_ord JOIN scored s ON s.qid = e.qid AND s.node_ord = e.dst WHERE s.title <> a.title),
-t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY qid, anchor ORDER BY cond DESC, node_ord) <= 2)
-SELECT qid, anchor, node_ord, cond, round(cond - semantic, 6) AS gain FROM t QUALIFY row_number() OVER (PARTITION BY qid, node_ord ORDER BY cond DESC, anchor_rank) = 1""")
+LINKED = r"""j AS (SELECT a.qid, a.node_ord AS anchor, a.anchor_rank, s.node_ord, s.semantic, list_distinct(regexp_extract_all(lower(b.text || chr(10) || 'Known evidence: ' || a.title || ': ' || a.text), '\p{L}+')) AS qw, list_distinct(regexp_extract_all(lower(s.text), '\p{L}+')) AS sw
+  FROM anch a JOIN benchmark b ON b.item_id = a.qid JOIN arcs e ON e.qid = a.qid AND e.src = a.node_ord JOIN scored s ON s.qid = e.qid AND s.node_ord = e.dst WHERE s.title <> a.title),
+js AS (SELECT * EXCLUDE (qw, sw), round(CASE WHEN len(qw) * len(sw) > 0 THEN len(list_intersect(qw, sw)) / sqrt((len(qw) * len(sw))::DOUBLE) ELSE 0.0 END, 6) AS cond FROM j),
+t AS (SELECT * FROM js QUALIFY row_number() OVER (PARTITION BY qid, anchor ORDER BY cond DESC, node_ord) <= 2),
+linked AS (SELECT qid, anchor, node_ord, cond, round(cond - semantic, 6) AS gain FROM t QUALIFY row_number() OVER (PARTITION BY qid, node_ord ORDER BY cond DESC, anchor_rank) = 1)"""
+
+
+@query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}{ANCH}, {LINKED} SELECT * FROM linked")
 def links_top_l(s: SparkSession, d: str) -> DataFrame:
     sc = methods.scored(questions(s, d), node_view(s, d))
-    return methods.links(sc, edge_view(s, d), methods.anchors(sc)).withColumn("gain", F.round("gain", 6))
+    return methods.links(questions(s, d), sc, edge_view(s, d), methods.anchors(sc))
+
+
+@query(f"""WITH {NODES}{SCORED}, nm AS (SELECT DISTINCT qid, title, dense_rank() OVER (PARTITION BY qid ORDER BY title DESC) - 1 AS pos FROM nodes WHERE qid % 2 = 0 QUALIFY pos < qid % 4),
+best AS (SELECT s.*, pos FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY semantic DESC, node_ord) = 1) s LEFT JOIN nm USING (qid, title)),
+f AS (SELECT *, pos IS NOT NULL AND pos < 2 AS named, count(*) FILTER (pos IS NOT NULL AND pos < 2) OVER (PARTITION BY qid) AS taken FROM best), r AS (SELECT *, row_number() OVER (PARTITION BY qid, named ORDER BY semantic DESC, node_ord) AS rest FROM f)
+SELECT qid, node_ord, title, row_number() OVER (PARTITION BY qid ORDER BY named DESC, CASE WHEN named THEN pos ELSE rest END)::INT AS anchor_rank FROM r WHERE named OR rest <= greatest(1, 2 - taken)""")
+def anchors_named_first(s: SparkSession, d: str) -> DataFrame:
+    """Questions of even number name up to 2 titles: those that are last in order."""
+    sc = methods.scored(questions(s, d), node_view(s, d))
+    place = F.dense_rank().over(W.partitionBy("qid").orderBy(F.desc("title"))) - 1
+    named = sc.filter("qid % 2 = 0").select("qid", "title", place.alias("pos")).distinct().filter("pos < qid % 4")
+    return methods.anchors(sc, 2, named).select("qid", "node_ord", "title", "anchor_rank")
 
 
 # fusion and prefix selection
@@ -331,61 +451,105 @@ def threshold_select(s: SparkSession, d: str) -> DataFrame:
     return c.select("qid", "ord", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, ord) AS rs, row_number() OVER (PARTITION BY qid ORDER BY graph DESC, ord) AS rg, count(*) OVER (PARTITION BY qid) AS n FROM c),
-g AS MATERIALIZED (SELECT qid, 1 - sum((rs <= 3 AND rg <= 3)::INT) / sum((rs <= 3 OR rg <= 3)::INT)::DOUBLE AS disagreement, max(semantic) AS best, max(CASE WHEN rs = 1 AND hop <> 0 THEN 1.0 ELSE 0.0 END) AS seed_miss FROM r GROUP BY qid), m AS (SELECT *, round(0.5 * disagreement + 0.3 * (1 - best) + 0.2 * seed_miss, 9) AS need FROM g)
-SELECT qid, round(need, 8) AS need, CASE WHEN need >= 0.36 THEN 0.2 ELSE 0.6 END::DOUBLE AS alpha_switch, round(greatest(0.1, least(0.9, 0.6 - need)), 8)::DOUBLE AS alpha_continuous FROM m""")
+_TOPS = """r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, ord) AS rs, row_number() OVER (PARTITION BY qid ORDER BY graph DESC, semantic DESC, ord) AS rg, count(*) OVER (PARTITION BY qid) AS n FROM {0})"""
+
+
+@query(f"""WITH {LINES}, k AS (SELECT *, sum(cost) OVER (PARTITION BY qid ORDER BY semantic DESC, ord ROWS UNBOUNDED PRECEDING) <= {LINE_BUDGET} AS s, sum(cost) OVER (PARTITION BY qid ORDER BY graph DESC, ord ROWS UNBOUNDED PRECEDING) <= {LINE_BUDGET} AS g FROM c),
+m AS (SELECT qid, CASE WHEN count(*) FILTER (s OR g) > 0 THEN 1 - count(*) FILTER (s AND g) / count(*) FILTER (s OR g)::DOUBLE ELSE 0.0 END AS dis, max(semantic) AS best, CASE WHEN count(*) FILTER (hop = 0) > 0 THEN count(*) FILTER (hop = 0 AND NOT s) / count(*) FILTER (hop = 0)::DOUBLE ELSE 0.0 END AS missed FROM k GROUP BY qid),
+w AS MATERIALIZED (SELECT qid, round(0.5 * dis + 0.3 * (1 - best) + 0.2 * missed, 9) AS need FROM m)
+SELECT qid, round(need, 8) AS need, CASE WHEN need >= 0.36 THEN 0.2 ELSE 0.6 END::DOUBLE AS alpha_switch, round(greatest(0.1, least(0.9, 0.6 - need)), 8)::DOUBLE AS alpha_continuous FROM w""")
 def need_graph_alpha(s: SparkSession, d: str) -> DataFrame:
-    n = fusion.need_graph(fusion.signals(line_view(s, d), 3))
-    n = n.withColumn("need", F.round("need", 9))
-    return n.select("qid", F.round("need", 8).alias("need"), F.when(F.col("need") >= 0.36, 0.2).otherwise(0.6).alias("alpha_switch"), F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), 0.6 - F.col("need"))), 8).alias("alpha_continuous"))
+    n = fusion.need_graph(fusion.need_signals(line_view(s, d), LINE_BUDGET))
+    return n.select("qid", F.round("need", 8).alias("need"), "alpha_switch", F.round("alpha_continuous", 8).alias("alpha_continuous"))
+
+
+@query(f"""WITH {LINES}, {_TOPS.format('c')}, m AS MATERIALIZED (SELECT qid, 1 - count(*) FILTER (rs <= 3 AND rg <= 3) / count(*) FILTER (rs <= 3 OR rg <= 3)::DOUBLE AS dis, avg(semantic) FILTER (rs <= 2) AS top2, max(semantic) FILTER (rs = least(3, n)) AS kth, max(graph) - max(graph) FILTER (rg = n // 2 + 1) AS peak,
+  CASE WHEN count(*) FILTER (hop = 0) > 0 THEN count(*) FILTER (hop = 0 AND rs > 3) / count(*) FILTER (hop = 0)::DOUBLE ELSE 0.0 END AS missed FROM r GROUP BY qid)
+SELECT qid, round(dis, 6) AS disagreement, round(top2, 7) AS top2, round(kth, 6) AS kth, round(peak, 6) AS peak, round(missed, 6) AS seed_miss, CASE WHEN dis >= 0.6 AND missed >= 0.4 AND top2 < 0.9 AND peak >= 0.65 THEN 0.4 WHEN dis >= 0.5 AND kth < 0.3 AND (missed >= 0.2 OR top2 < 0.85) THEN 0.7 ELSE 1.0 END::DOUBLE AS alpha FROM m""")
+def semantic_first_alpha(s: SparkSession, d: str) -> DataFrame:
+    n = fusion.semantic_first(fusion.rescue_signals(line_view(s, d), 3))
+    return n.select("qid", *[F.round(c, 7 if c == "top2" else 6).alias(c) for c in ("disagreement", "top2", "kth", "peak", "seed_miss")], "alpha")
 
 
 # folds
 
-_PC9 = ", k AS (SELECT * REPLACE (p_semantic AS p_semantic), 0.6 * p_semantic + 0.4 * p_graph AS bl FROM pc)"
+_ANCHORED = "units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY {order}) AS rk, " + PAIR.format(when="x.anchor IS NOT NULL") + " FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor)"
+_BEST = "x.score DESC, x.rel DESC, x.semantic DESC, x.ord"
+#: Percentile of the conditional score among validated links.
+_LINK = "CASE WHEN anchor IS NULL THEN 0.0 WHEN count(*) OVER (PARTITION BY qid, anchor IS NULL) = 1 THEN 1.0 ELSE (rank() OVER (PARTITION BY qid, anchor IS NULL ORDER BY cond) - 1 + (count(*) OVER (PARTITION BY qid, anchor IS NULL, cond) - 1) / 2.0) / (count(*) OVER (PARTITION BY qid, anchor IS NULL) - 1) END"
 
 
-@query(f"WITH {LINES}{PCT}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph + 0.2 * p_cond AS score FROM pc), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY x.score DESC, x.semantic DESC, x.ord) AS rk, " + PAIR.format(when="x.anchor IS NOT NULL") + " FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor)"))
+@query(f"WITH {LINES}{PCT}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph AS rel, 0.6 * p_semantic + 0.4 * p_graph + 0.2 * p_cond AS score FROM pc), " + fold_sql(_ANCHORED.format(order=_BEST)))
 def conditional_fold(s: SparkSession, d: str) -> DataFrame:
     return selection.conditional_topk(line_view(s, d), 0.6, 0.2, LINE_BUDGET)
 
 
-@query(f"WITH {LINES}{PCT}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph AS score FROM pc), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY CASE WHEN x.anchor IS NOT NULL AND a.cost IS NOT NULL THEN a.score + x.score + 0.3 * x.p_cond ELSE x.score END DESC, x.score DESC, x.ord) AS rk, " + PAIR.format(when="x.anchor IS NOT NULL") + " FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor)"))
+@query(f"WITH {LINES}{PCT}, k AS (SELECT *, p_semantic AS score, {_LINK} AS link FROM pc), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY CASE WHEN x.anchor IS NOT NULL AND a.cost IS NOT NULL THEN a.score + x.score + 0.3 * x.link ELSE x.score END DESC, x.score DESC, x.ord) AS rk, " + PAIR.format(when="x.anchor IS NOT NULL") + " FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor)"))
 def pair_fold(s: SparkSession, d: str) -> DataFrame:
-    return selection.pair_fold(line_view(s, d), 0.6, 0.3, LINE_BUDGET)
+    return selection.pair_fold(line_view(s, d), 0.3, LINE_BUDGET)
+
 
+@query(f"WITH {LINES}{PCT}, k AS (SELECT *, p_semantic AS score, {_LINK} AS link FROM pc), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY CASE WHEN x.anchor IS NOT NULL AND a.cost IS NOT NULL THEN a.score + x.score + 0.3 * x.link ELSE x.score END DESC, x.score DESC, x.ord) AS rk, [x.ord::INT] AS ks, [x.cost] AS cs FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor)"))
+def endpoint_fold(s: SparkSession, d: str) -> DataFrame:
+    """Pairs keep their utility, but only the endpoint is taken."""
+    return selection.pair_fold(line_view(s, d), 0.3, LINE_BUDGET, preserve_pairs=False)
 
-@query(f"WITH {LINES}{PCT}, k0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, ord) AS rs, row_number() OVER (PARTITION BY qid ORDER BY graph DESC, ord) AS rg FROM pc), k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph + 0.2 * p_cond + CASE WHEN rg <= 3 AND rs > 3 AND anchor IS NOT NULL THEN 0.5 * p_graph * p_cond / greatest(1, hop) ELSE 0.0 END AS score FROM k0), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY x.score DESC, x.semantic DESC, x.ord) AS rk, " + PAIR.format(when="x.anchor IS NOT NULL") + " FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor)"))
+
+@query(f"WITH {LINES}{PCT}, {_TOPS.format('pc')}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph AS rel, round(0.6 * p_semantic + 0.4 * p_graph + 0.2 * p_cond + 0.5 * (1 - (count(*) FILTER (rs <= 3 AND rg <= 3) OVER (PARTITION BY qid)) / (count(*) FILTER (rs <= 3 OR rg <= 3) OVER (PARTITION BY qid))::DOUBLE) * CASE WHEN rg <= 3 AND rs > 3 AND anchor IS NOT NULL THEN p_graph * p_cond / greatest(1, hop) ELSE 0.0 END, 9) AS score FROM r), " + fold_sql(_ANCHORED.format(order=_BEST)))
 def rescue_fold(s: SparkSession, d: str) -> DataFrame:
     return selection.rescue_fold(line_view(s, d), 0.6, 0.2, 0.5, 3, LINE_BUDGET)
 
 
-@query(f"WITH {LINES}{PCT}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph + 0.2 * p_cond AS score FROM pc), u0 AS (SELECT x.*, a.cost AS acost, a.semantic AS asem, x.anchor IS NOT NULL AND a.cost IS NOT NULL AND row_number() OVER (PARTITION BY x.qid, x.anchor ORDER BY x.score DESC, x.ord) = 1 AS reserved FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY reserved DESC, CASE WHEN reserved THEN asem END DESC NULLS LAST, score DESC, semantic DESC, ord) AS rk, CASE WHEN acost IS NOT NULL THEN [anchor::INT, ord::INT] ELSE [ord::INT] END AS ks, CASE WHEN acost IS NOT NULL THEN [acost, cost] ELSE [cost] END AS cs FROM u0 x)"))
+@query(f"WITH {LINES}{PCT}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph AS rel, 0.6 * p_semantic + 0.4 * p_graph + 0.2 * p_cond AS score FROM pc), u0 AS (SELECT x.*, a.cost AS acost, a.semantic AS asem, min(x.ord) OVER (PARTITION BY x.qid, x.anchor) AS first_ord, x.anchor IS NOT NULL AND a.cost IS NOT NULL AND row_number() OVER (PARTITION BY x.qid, x.anchor ORDER BY x.score DESC, x.rel DESC, x.ord) = 1 AS reserved FROM k x LEFT JOIN k a ON a.qid = x.qid AND a.ord = x.anchor), " + fold_sql("units AS (SELECT x.qid, row_number() OVER (PARTITION BY x.qid ORDER BY reserved DESC, CASE WHEN reserved THEN asem END DESC NULLS LAST, CASE WHEN reserved THEN first_ord END, score DESC, rel DESC, semantic DESC, ord) AS rk, CASE WHEN acost IS NOT NULL THEN [anchor::INT, ord::INT] ELSE [ord::INT] END AS ks, CASE WHEN acost IS NOT NULL THEN [acost, cost] ELSE [cost] END AS cs FROM u0 x)"))
 def chain_reserve_fold(s: SparkSession, d: str) -> DataFrame:
     return selection.chain_reserve(line_view(s, d), 0.6, 0.2, LINE_BUDGET)
 
 
-@query(f"WITH {LINES}, k AS (SELECT *, title < 3 AND row_number() OVER (PARTITION BY qid, title ORDER BY semantic DESC, ord) = 1 AS reserved, semantic / greatest(1, cost) AS density FROM c), " + fold_sql("units AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY reserved DESC, CASE WHEN reserved THEN semantic END DESC NULLS LAST, density DESC, semantic DESC, ord) AS rk, [ord::INT] AS ks, [cost] AS cs FROM k)"))
+@query(f"WITH {LINES}{PCT}, k0 AS (SELECT *, title < 3 AND row_number() OVER (PARTITION BY qid, title ORDER BY p_semantic DESC, ord) = 1 AS reserved, p_semantic / greatest(1, cost) AS density FROM pc), k AS (SELECT * FROM k0 WHERE reserved OR density >= 0.01), " + fold_sql("units AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY reserved DESC, CASE WHEN reserved THEN title END, density DESC, p_semantic DESC, title DESC, ord DESC) AS rk, [ord::INT] AS ks, [cost] AS cs FROM k)"))
 def entity_balanced_fold(s: SparkSession, d: str) -> DataFrame:
-    return selection.entity_balanced(line_view(s, d), F.col("title") < 3, LINE_BUDGET)
+    return selection.entity_balanced(line_view(s, d), F.when(F.col("title") < 3, F.col("title")), LINE_BUDGET, least=0.01)
+
+
+@query(f"WITH {LINES}{PCT}, k AS (SELECT *, 0.6 * p_semantic + 0.4 * p_graph AS rel FROM pc), " + fold_sql("units AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, semantic DESC, ord) AS rk, [ord::INT] AS ks, [cost] AS cs FROM k)"))
+def coverage_select(s: SparkSession, d: str) -> DataFrame:
+    return selection.coverage(line_view(s, d), LINE_BUDGET, alpha=0.6)
 
 
 @query()
+def coverage_bonus_select(s: SparkSession, d: str) -> DataFrame:
+    return selection.coverage(line_view(s, d), LINE_BUDGET, 0.1, alpha=0.6)
+
+
+@query(f"""WITH {LINES}{PCT}, k AS (SELECT *, round(0.6 * p_semantic + 0.4 * p_graph, 9) AS r, 0.6 * p_semantic + 0.4 * p_graph AS score FROM pc), e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY qid)) / 0.15) AS e FROM k),
+m AS (SELECT *, round(e / sum(e) OVER (PARTITION BY qid), 9) AS share FROM e), lists AS (SELECT qid, list({{'ks': [ord::INT], 'cs': [cost], 'm': [share]}} ORDER BY r DESC, semantic DESC, ord) AS us FROM m GROUP BY qid),
+f AS (SELECT qid, list_reduce(us, lambda s, x: CASE WHEN NOT (s.m[1] >= 0.65 AND len(s.ks) >= 2) AND s.cs[1] + x.cs[1] <= {LINE_BUDGET} THEN {{'ks': list_concat(s.ks, x.ks), 'cs': [s.cs[1] + x.cs[1]], 'm': [s.m[1] + x.m[1]]}} ELSE s END, {{'ks': []::INT[], 'cs': [0]::BIGINT[], 'm': [0.0]::DOUBLE[]}}) AS s FROM lists)
+SELECT qid, s.cs[1]::BIGINT AS used, round(s.m[1], 6) AS mass, array_to_string(s.ks, ',') AS selected FROM f""")
 def mass_fold(s: SparkSession, d: str) -> DataFrame:
     return selection.mass_fold(line_view(s, d), 0.6, LINE_BUDGET, 0.65, 0.15, 2)
 
 
 @query()
+def closed_mass_select(s: SparkSession, d: str) -> DataFrame:
+    """Mass selection over the two-hop pool of the documents, nodes with their path from the seed."""
+    return selection.closed_mass(methods.pool(questions(s, d), node_view(s, d), edge_view(s, d)), 0.6, BUDGET)
+
+
+@query(f"""WITH {LINES}, l AS (SELECT qid, list(ord::INT ORDER BY semantic DESC, ord) AS sem, list(ord::INT ORDER BY graph DESC, semantic DESC, ord) AS gra, list(cost ORDER BY ord) AS cost FROM c GROUP BY qid),
+f AS (SELECT qid, list_reduce([{{'seen': [i::INT], 'sel': []::INT[], 'used': []::BIGINT[]}} FOR i IN range(2 * len(sem))], lambda s, x:
+  CASE WHEN len([k FOR k IN (CASE WHEN x.seen[1] % 2 = 0 THEN sem ELSE gra END) IF NOT list_contains(s.seen, k)]) = 0 THEN s
+  WHEN s.used[1] + cost[[k FOR k IN (CASE WHEN x.seen[1] % 2 = 0 THEN sem ELSE gra END) IF NOT list_contains(s.seen, k)][1]] <= {LINE_BUDGET}
+  THEN {{'seen': list_append(s.seen, [k FOR k IN (CASE WHEN x.seen[1] % 2 = 0 THEN sem ELSE gra END) IF NOT list_contains(s.seen, k)][1]), 'sel': list_append(s.sel, [k FOR k IN (CASE WHEN x.seen[1] % 2 = 0 THEN sem ELSE gra END) IF NOT list_contains(s.seen, k)][1]), 'used': [s.used[1] + cost[[k FOR k IN (CASE WHEN x.seen[1] % 2 = 0 THEN sem ELSE gra END) IF NOT list_contains(s.seen, k)][1]]]}}
+  ELSE {{'seen': list_append(s.seen, [k FOR k IN (CASE WHEN x.seen[1] % 2 = 0 THEN sem ELSE gra END) IF NOT list_contains(s.seen, k)][1]), 'sel': s.sel, 'used': s.used}} END, {{'seen': []::INT[], 'sel': []::INT[], 'used': [0]::BIGINT[]}}) AS s FROM l)
+SELECT qid, s.used[1]::BIGINT AS used, array_to_string(s.sel, ',') AS selected FROM f""")
 def interleave_select(s: SparkSession, d: str) -> DataFrame:
     return selection.interleave(line_view(s, d), LINE_BUDGET)
 
 
-@query()
-def coverage_select(s: SparkSession, d: str) -> DataFrame:
-    return selection.coverage(line_view(s, d), LINE_BUDGET)
-
-
-@query()
+@query("""WITH RECURSIVE c AS (SELECT label::BIGINT AS qid, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT AS ord, round(embedding[1]::DOUBLE, 6) AS rel, embedding::DOUBLE[] AS v FROM embeddings),
+g(qid, sel, vs) AS (SELECT qid, [arg_min(ord, -rel * 1000000000 + ord / 1000000.0)], [arg_min(v, -rel * 1000000000 + ord / 1000000.0)] FROM c GROUP BY qid UNION ALL
+SELECT t.qid, list_append(t.sel, t.ord), list_append(t.vs, t.v) FROM (SELECT g.qid, g.sel, g.vs, c.ord, c.v, row_number() OVER (PARTITION BY g.qid ORDER BY round(0.7 * c.rel - 0.3 * list_max([list_dot_product(c.v, x) FOR x IN g.vs]), 12) DESC, c.ord) AS k
+  FROM g JOIN c ON c.qid = g.qid AND NOT list_contains(g.sel, c.ord) WHERE len(g.sel) < 10) t WHERE k = 1)
+SELECT qid, 10 * len(sel)::BIGINT AS used, array_to_string(sel, ',') AS selected FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY len(sel) DESC) = 1""")
 def mmr_greedy(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings")
     first = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
@@ -393,19 +557,23 @@ def mmr_greedy(s: SparkSession, d: str) -> DataFrame:
     return selection.mmr(c, 100)
 
 
+def linked_lines(s: SparkSession, d: str) -> DataFrame:
+    return line_view(s, d).withColumns({"gain": F.round(F.col("cond") - F.col("semantic"), 6), "preferred": F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<bigint>")})
+
+
 @query()
 def marginal_pair(s: SparkSession, d: str) -> DataFrame:
-    return selection.marginal_pair(line_view(s, d), LINE_BUDGET, 0.3, 0.05, 1.0, 0.0)
+    return selection.marginal_pair(linked_lines(s, d), LINE_BUDGET, 0.3, 0.05, 1.0, 0.0)
 
 
 @query()
 def chain_witness(s: SparkSession, d: str) -> DataFrame:
-    return selection.chain_witness(line_view(s, d), LINE_BUDGET, 2, 4)
+    return selection.chain_witness(linked_lines(s, d), LINE_BUDGET, 2, 4, 1, least=0.01)
 
 
 @query()
 def entity_witness(s: SparkSession, d: str) -> DataFrame:
-    return selection.entity_witness(line_view(s, d), LINE_BUDGET, 2, {0, 1, 2}, 1)
+    return selection.entity_witness(linked_lines(s, d), LINE_BUDGET, 2, 1, least=0.01)
 
 
 @query()
@@ -413,6 +581,11 @@ def routed_pairs(s: SparkSession, d: str) -> DataFrame:
     return methods.routed_pairs(questions(s, d), node_view(s, d), edge_view(s, d), BUDGET)
 
 
+@query()
+def routed_witnesses(s: SparkSession, d: str) -> DataFrame:
+    return methods.routed_witnesses(questions(s, d), node_view(s, d), edge_view(s, d), BUDGET)
+
+
 # context, metrics, statistics
 
 _SEL = f"WITH {NODES}{SCORED}, us AS (SELECT *, sum(n_tokens) OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord) AS sel FROM scored), s AS (SELECT * FROM us WHERE used <= 200)"
@@ -510,27 +683,70 @@ def need_bucket(s: SparkSession, d: str) -> DataFrame:
 
 # certified plans
 
-PLANS = [
-    (1, '{"claims":[{"id":"a","subject":"X","relation":"r","object":"?b","query":"q"},{"id":"c","subject":"?b","relation":"r","object":"?answer","query":"q"}],"operation":{"type":"lookup","operator":"","inputs":["c"],"output":"?answer"}}'),
-    (2, '{"claims":[{"id":"a","subject":"?z","relation":"r","object":"?b","query":"q"},{"id":"c","subject":"Y","relation":"r","object":"?b","query":"q"},{"id":"e","subject":"?b","relation":"r","object":"?d","query":"q"}],"operation":{"type":"compare","operator":"","inputs":["a","e"],"output":"?answer"}}'),
-]
-CLAIMS = "claims(qid, pos, id, subject, object) AS (VALUES (1, 0, 'a', 'X', '?b'), (1, 1, 'c', '?b', '?answer'), (2, 0, 'a', '?z', '?b'), (2, 1, 'c', 'Y', '?b'), (2, 2, 'e', '?b', '?d'))"
-DEPS = "deps AS (SELECT t.qid, CASE WHEN count(s.id) = 1 THEN min(s.id) END AS source, t.id AS target, t.subject AS binding, CASE WHEN count(s.id) <> 1 THEN 'plan_invalid' END AS error FROM claims t LEFT JOIN claims s ON s.qid = t.qid AND s.object = t.subject AND s.pos < t.pos WHERE t.subject LIKE '?%' GROUP BY t.qid, t.id, t.subject)"
+_PLAN_LINES = """pl AS (SELECT l_orderkey AS qid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_discount, l_tax, l_quantity) AS ord, l_partkey, l_tax, l_discount, l_linenumber FROM lineitem),
+cl AS (SELECT qid, ord, 'c' || ord AS id, CASE WHEN ord = 1 OR l_tax < 0.02 THEN 'Part ' || l_partkey ELSE '?v' || (ord - 1) END AS subject, CASE WHEN l_discount > 0.09 THEN '?v1' ELSE '?v' || ord END AS object, l_partkey, l_linenumber FROM pl),
+dp AS (SELECT t.qid, t.id AS target, t.ord, t.subject AS binding, count(s.id) AS n, min(s.id) AS source FROM cl t LEFT JOIN cl s ON s.qid = t.qid AND s.ord < t.ord AND s.object = t.subject WHERE t.subject LIKE '?%' GROUP BY ALL),
+sk AS (SELECT c.* FROM cl c WHERE NOT EXISTS (SELECT 1 FROM dp WHERE dp.qid = c.qid AND dp.source = c.id AND dp.n = 1)),
+op AS (SELECT qid, ['lookup', 'compare', 'boolean', 'intersection'][qid % 4 + 1] AS type, CASE WHEN qid % 5 = 0 THEN ['c1'] ELSE list(c.id ORDER BY ord) FILTER (NOT EXISTS (SELECT 1 FROM cl x WHERE x.qid = c.qid AND x.ord > c.ord AND x.subject = c.object)) END AS inputs, CASE WHEN qid % 7 = 0 THEN '?answer' ELSE '?v' || max(ord) END AS output FROM cl c GROUP BY qid),
+ck AS (SELECT o.*, (SELECT count(*) FROM dp WHERE dp.qid = o.qid AND n <> 1) AS bad, (SELECT list(id ORDER BY id) FROM sk WHERE sk.qid = o.qid) AS sinks, (SELECT string_agg(source || '>' || target, ',' ORDER BY ord) FROM dp WHERE dp.qid = o.qid) AS deps, (SELECT object FROM cl WHERE cl.qid = o.qid AND cl.id = o.inputs[1]) AS terminal FROM op o),
+pv AS (SELECT *, CASE WHEN bad > 0 THEN 'dependency' WHEN list_sort(inputs) <> sinks THEN 'sinks' WHEN type = 'lookup' AND len(inputs) <> 1 THEN 'lookup' WHEN type = 'lookup' AND terminal <> output THEN 'lookup_output' WHEN type IN ('compare', 'intersection') AND len(inputs) < 2 THEN 'branches' END AS error FROM ck)"""
+
+
+def line_claims(s: SparkSession, d: str) -> DataFrame:
+    """Line items as claims: a part is looked up, or the variable of the line before; some reuse the first variable."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_quantity")
+    t = table(s, d, "lineitem").withColumn("ord", F.row_number().over(order))
+    part = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
+    subject = F.when((F.col("ord") == 1) | (F.col("l_tax") < 0.02), part).otherwise(F.concat(F.lit("?v"), F.col("ord") - 1))
+    obj = F.when(F.col("l_discount") > 0.09, "?v1").otherwise(F.concat(F.lit("?v"), F.col("ord")))
+    return t.select(F.col("l_orderkey").alias("qid"), "ord", F.concat(F.lit("c"), F.col("ord")).alias("id"), subject.alias("subject"), obj.alias("object"), "l_partkey", "l_linenumber")
+
+
+def line_plans(s: SparkSession, d: str) -> DataFrame:
+    """Each order as a plan in JSON; inputs and outputs are wrong for some."""
+    claim = F.struct("id", "subject", F.lit("r").alias("relation"), "object", F.lit("q").alias("query"))
+    c = line_claims(s, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", claim.alias("c")))).alias("cs")).withColumn("cs", F.transform("cs", lambda x: x["c"]))
+    last = F.filter("cs", lambda x, i: ~F.exists(F.slice("cs", i + 2, F.size("cs")), lambda y: y["subject"] == x["object"]))
+    inputs = F.when(F.col("qid") % 5 == 0, F.array(F.lit("c1"))).otherwise(F.transform(last, lambda x: x["id"]))
+    kind = F.get(F.array(*map(F.lit, ("lookup", "compare", "boolean", "intersection"))), (F.col("qid") % 4).cast("int"))
+    output = F.when(F.col("qid") % 7 == 0, "?answer").otherwise(F.concat(F.lit("?v"), F.size("cs")))
+    op = F.struct(kind.alias("type"), F.lit("o").alias("operator"), inputs.alias("inputs"), output.alias("output"))
+    return c.select("qid", F.to_json(F.struct(F.col("cs").alias("claims"), op.alias("operation"))).alias("plan"))
 
 
-def plan_claims(s: SparkSession) -> DataFrame:
-    return certify.claims(s.createDataFrame(PLANS, "qid int, plan string"))
+@query(f"WITH {_PLAN_LINES} SELECT qid, error, CASE WHEN error IS NULL THEN coalesce(deps, '') END AS deps, CASE WHEN error IS NULL THEN array_to_string(sinks, ',') END AS sinks, CASE WHEN error IS NULL THEN CASE type WHEN 'lookup' THEN output ELSE '?answer' END END AS output FROM pv")
+def plan_validate(s: SparkSession, d: str) -> DataFrame:
+    p = certify.parsed(line_plans(s, d))
+    return p.select("qid", "error", F.array_join(F.transform("deps", lambda x: F.concat(x["source"], F.lit(">"), x["target"])), ",").alias("deps"), F.array_join(F.array_sort("sinks"), ",").alias("sinks"), F.col("operation.output").alias("output"))
 
 
-@query(f"WITH {CLAIMS}, {DEPS} SELECT * FROM deps")
+@query(f"WITH {_PLAN_LINES} SELECT dp.qid, source, target, binding FROM dp JOIN pv USING (qid) WHERE error IS NULL")
 def plan_dependencies(s: SparkSession, d: str) -> DataFrame:
-    return certify.dependencies(plan_claims(s))
+    return certify.parsed(line_plans(s, d)).select("qid", F.explode("deps").alias("x")).select("qid", "x.source", "x.target", "x.binding")
 
 
-@query(f"WITH {CLAIMS}, {DEPS} SELECT qid, id FROM claims c WHERE NOT EXISTS (SELECT 1 FROM deps WHERE deps.qid = c.qid AND source = id)")
+@query(f"WITH {_PLAN_LINES} SELECT sk.qid, id FROM sk JOIN pv USING (qid) WHERE error IS NULL")
 def plan_sinks(s: SparkSession, d: str) -> DataFrame:
-    c = plan_claims(s)
-    return certify.sinks(c, certify.dependencies(c)).select("qid", "id")
+    return certify.parsed(line_plans(s, d)).select("qid", F.explode("sinks").alias("id"))
+
+
+@query(f"""WITH {_PLAN_LINES}, t AS (SELECT DISTINCT qid, CASE l_linenumber % 3 WHEN 0 THEN 'part  ' || l_partkey ELSE 'Part ' || l_partkey || ' (film)' END AS title FROM cl WHERE l_linenumber % 3 < 2),
+tk AS (SELECT *, {_MENTION.format('title', 't')} FROM t), sb AS (SELECT qid, id, subject, {_MENTION.format('subject', 's')} FROM cl WHERE subject NOT LIKE '?%'),
+g AS (SELECT s.qid, s.id, count(*) FILTER (sn = tn) AS ne, min(title) FILTER (sn = tn) AS e, count(*) AS nl, min(title) AS l FROM sb s JOIN tk t ON s.qid = t.qid AND (sn = tn OR sk = tk OR len(list_intersect(st, tt)) >= 2 OR len([x FOR x IN list_intersect(st, tt) IF length(x) >= 6]) > 0) GROUP BY 1, 2)
+SELECT c.qid, c.id, CASE WHEN ne = 1 THEN e WHEN ne = 0 AND nl = 1 THEN l END AS source_title FROM cl c LEFT JOIN g USING (qid, id)""")
+def title_grounding(s: SparkSession, d: str) -> DataFrame:
+    c = line_claims(s, d)
+    k = F.col("l_linenumber") % 3
+    part = F.col("l_partkey").cast("string")
+    titles = c.filter(k < 2).select("qid", F.when(k == 0, F.concat(F.lit("part  "), part)).otherwise(F.concat(F.lit("Part "), part, F.lit(" (film)"))).alias("title"))
+    return certify.grounded(c, titles).select("qid", "id", "source_title")
+
+
+@query(f"WITH {_PLAN_LINES}, k AS (SELECT qid, list(id ORDER BY ord) AS a, list(id ORDER BY l_partkey, ord) AS b FROM cl GROUP BY qid) SELECT qid, array_to_string(list_filter(list_concat(a, b), lambda x, i: list_position(list_concat(a, b), x) = i), ',') AS united FROM k")
+def ordered_union(s: SparkSession, d: str) -> DataFrame:
+    g = line_claims(s, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("a"), F.array_sort(F.collect_list(F.struct("l_partkey", "ord", "id"))).alias("b"))
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    return g.select("qid", F.array_join(certify.ordered_union(ids("a"), ids("b")), ",").alias("united"))
 
 
 def judged(s: SparkSession, d: str) -> DataFrame:
@@ -544,17 +760,38 @@ def claim_retain(s: SparkSession, d: str) -> DataFrame:
     return certify.retained(judged(s, d), 0.7, 2).select("qid", "claim", "key", "rank", "error")
 
 
+def witness_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Plans of each order's first three lines, one after the other; a claim may be met by its line or the next."""
+    c = line_view(s, d).filter("ord <= 4")
+    first = c.filter("ord <= 3").groupBy("qid").agg(F.sort_array(F.collect_list(F.concat(F.lit("c"), F.col("ord").cast("string")))).alias("ids"))
+    dep = F.transform(F.slice("ids", 2, 3), lambda x, i: F.struct(F.get("ids", i).alias("source"), x.alias("target"), F.lit("?b").alias("binding")))
+    plans = first.select("qid", F.transform("ids", lambda x: F.struct(x.alias("id"))).alias("claims"), F.when(F.col("qid") % 2 == 0, dep).otherwise(F.slice(dep, 1, 0)).alias("deps"))
+    value = lambda x: F.when(x % 5 == 0, "Golden Harbour").otherwise("The golden harbour")
+    a = c.select("qid", F.explode(F.array(F.col("ord"), F.col("ord") - 1)).alias("of"), "ord", "graph").filter("of between 1 and 3")
+    a = a.select("qid", F.concat(F.lit("c"), F.col("of").cast("string")).alias("claim"), F.col("ord").cast("int").alias("rank"), F.col("ord").cast("string").alias("key"), F.col("graph").alias("confidence"), F.create_map(F.lit("?b"), value(F.col("ord"))).alias("bindings"), F.concat(F.lit("quote "), F.col("ord").cast("string")).alias("quote"))
+    x, y = c.select("qid", F.col("ord").alias("i"), "semantic"), c.select("qid", F.col("ord").alias("j"))
+    p = x.join(y, "qid").filter("i < j and j - i <= 2").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    p = p.select("qid", (F.col("i") * 10 + F.col("j")).cast("int").alias("rank"), F.concat(F.lit("c"), "n").alias("source"), F.concat(F.lit("c"), F.col("n") + 1).alias("target"), F.col("i").cast("string").alias("from_key"), F.col("j").cast("string").alias("to_key"), F.when(F.col("j") - F.col("i") == 2, F.array("i", F.col("i") + 1, "j")).otherwise(F.array("i", "j")).cast("array<string>").alias("path"), F.round(1 - F.col("semantic") / 4, 6).alias("confidence"), F.lit("golden harbour").alias("value"))
+    nodes = c.select("qid", F.col("ord").cast("string").alias("key"), F.concat(F.lit("t"), F.col("title").cast("string")).alias("title"), F.concat(F.lit("sentence "), F.repeat(F.lit("word "), (F.col("cost") / 5).cast("int"))).alias("text"))
+    return plans, a, p, nodes
+
+
 @query()
 def witness_solve(s: SparkSession, d: str) -> DataFrame:
-    j = judged(s, d)
-    kept = certify.retained(j, 0.7, 2).filter("error is null").join(j.select("qid", "key", "cost"), ["qid", "key"])
-    return certify.witnesses(kept, 80)
+    out = certify.witnesses(*witness_parts(s, d), [20, 60], sufficiency=0.7)
+    return out.withColumns({"keys": F.array_join("keys", ","), "assigned": F.array_join("assigned", ",")})
+
+
+def three_word_titles(s: SparkSession, d: str) -> DataFrame:
+    """The document view with passages called by their first three words, so that others mention them."""
+    p = passage_view(s, d).withColumn("title", F.array_join(F.slice(F.split(F.get("sentences", F.lit(0)), " "), 1, 3), " "))
+    return multihop.sentences(p)
 
 
 @query()
 def quote_projection(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").withColumn("ws", F.split("text", " "))
-    return t.select("doc_id", F.md5(T.project_quote(F.col("text"), F.concat_ws(" ", F.element_at("ws", 1), F.element_at("ws", -1)))).alias("span"), T.canonical_key(F.col("source")).alias("key"))
+    return t.select("doc_id", F.md5(T.project_quote(F.col("text"), F.concat_ws(" ", F.element_at("ws", 1), F.element_at("ws", -1)), F.array(F.element_at("ws", 1)))).alias("span"), T.canonical_key(F.col("source")).alias("key"))
 
 
 # judgments, prompts, sweeps and reports

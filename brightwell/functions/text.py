@@ -7,17 +7,18 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed values.
-HONORIFICS = "king|queen|prince|princess|dr|sir"
+HONORIFICS = r"king|queen|prince|princess|dr\.?|sir"
 ALIAS_STOPWORDS = ["a", "an", "and", "director", "film", "of", "saint", "st", "the", "king", "queen", "prince", "princess", "sultan"]
 NO_OVERLAP_ANSWERS = ["yes", "no", "noanswer"]
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
-COMPARISON = r"(?i)\b(both|same|older|younger|earlier|later|first|more|less|larger|smaller|which|compare|difference)\b"
-RELATION = r"(?i)\b(director|father|mother|spouse|husband|wife|son|daughter|founder|author|composer|performer|capital|country)\b"
-RELATION_PLURAL = r"(?i)\b(directors?|fathers?|mothers?|spouses?|husbands?|wife|wives|sons?|daughters?|child|children|founders?|authors?|composers?|performers?|capitals?|country|countries)\b"
+ENTITY = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*"
+COMPARISON = r"(?i)\b(same|both|earlier|later|older|younger|first|more recently|higher|lower|larger|smaller|more|less|share)\b"
+RELATION = r"(?i)\b(director|author|writer|creator|producer|founder|owner|leader|father|mother|parent|grandfather|grandmother|son|daughter|child|wife|husband|spouse|brother|sister|coach|manager|president)\b"
+RELATION_PLURAL = r"(?i)\b(directors?|authors?|writers?|creators?|producers?|founders?|owners?|leaders?|fathers?|mothers?|parents?|grandfathers?|grandmothers?|sons?|daughters?|children|child|wives|wife|husbands?|spouses?|brothers?|sisters?|coaches|coach|managers?|presidents?)\b"
 
 
 def normalize(c: Column) -> Column:
@@ -33,33 +34,68 @@ def count_tokens(c: Column) -> Column:
 
 
 @F.udf(StringType(), useArrow=True)
-def fold_accents(text: str | None) -> str | None:
-    """Case folded, compatibility decomposed, without combining marks, letters and digits only."""
+def fold(text: str | None) -> str | None:
+    """Case folded and compatibility decomposed, without combining marks."""
     if text is None:
         return None
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c) and c.isalnum())
+    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+
+
+def without_suffix(c: Column) -> Column:
+    """Without a bracketed suffix."""
+    return F.regexp_replace(c, r"(?U)\s*\([^()]*\)\s*$", "")
 
 
 def canonical_key(c: Column) -> Column:
-    """Entity key without a bracketed suffix and a leading honorific."""
-    bare = F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")
-    return fold_accents(F.regexp_replace(bare, rf"(?i)^\s*(?:{HONORIFICS})\s+", ""))
+    """Entity key: letters and digits only, without a bracketed suffix and a leading honorific."""
+    return F.regexp_replace(fold(F.regexp_replace(without_suffix(c), rf"(?iU)^\s*(?:{HONORIFICS})\s+", "")), r"[^\p{L}\p{N}]", "")
 
 
 def alias_tokens(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(fold(without_suffix(c)), F.lit("[a-z0-9]+"), F.lit(0))
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, ALIAS_STOPWORDS)))
 
 
+def alias(c: Column) -> Column:
+    """What ``alias_same`` compares; made once for each row, before any join."""
+    return F.struct(canonical_key(c).alias("key"), alias_tokens(c).alias("tokens"))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    both = F.array_intersect(a, b)
+    return (F.size(both) >= 2) | F.exists(both, lambda x: F.length(x) >= 6)
+
+
+def alias_same(a: Column, b: Column) -> Column:
+    """Equal keys, two shared alias tokens, or one of six letters (of ``alias`` structs)."""
+    return (a["key"] == b["key"]) | _shared(a["tokens"], b["tokens"])
+
+
 def alias_match(a: Column, b: Column) -> Column:
-    """Two shared alias tokens, or one of six letters, or equal normal forms."""
-    both = F.array_intersect(alias_tokens(a), alias_tokens(b))
-    return (normalize_title(a) == normalize_title(b)) | (F.size(both) >= 2) | F.exists(both, lambda x: F.length(x) >= 6)
+    return alias_same(alias(a), alias(b))
+
+
+def mention(c: Column) -> Column:
+    """What ``mentions`` compares, of a text or a title."""
+    return F.struct(normalize(c).alias("norm"), canonical_key(c).alias("key"), alias_tokens(c).alias("tokens"))
+
+
+def mentions(text: Column, title: Column) -> Column:
+    """Whether a text names a title: as it stands, as a key of five letters or more, or by shared alias tokens (of ``mention`` structs)."""
+    return text["norm"].contains(title["norm"]) | ((F.length(title["key"]) >= 5) & text["key"].contains(title["key"])) | _shared(text["tokens"], title["tokens"])
+
+
+def mentioned_titles(question: Column, titles: Column) -> Column:
+    """Titles whose normal form stands in the question, by place, then by title (``titles`` is an array)."""
+    q = normalize_title(question)
+    found = F.transform(F.array_distinct(titles), lambda t: F.struct(F.instr(q, normalize_title(t)).alias("at"), normalize_title(t).alias("norm"), t.alias("title")))
+    kept = F.filter(found, lambda x: (x["at"] > 0) & (x["norm"] != ""))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["at"], x["title"]))), lambda x: x["title"])
 
 
-def entities(c: Column, least: int = 6) -> Column:
-    """Default extractor: distinct capitalised words."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"\p{{Lu}}\p{{L}}{{{least - 1},}}"), F.lit(0)))
+def entities(c: Column) -> Column:
+    """Default extractor: distinct normalised runs of capitalised words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), normalize))
 
 
 def route(c: Column, relation: str = RELATION) -> Column:
@@ -113,18 +149,52 @@ def usd(prompt: Column, output: Column) -> Column:
     return (prompt * 0.15 + output * 0.60) / 1e6
 
 
+def _fold(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+
+
+def _bare(text: str) -> str:
+    return re.sub(r"\s*\([^()]*\)\s*$", "", text)
+
+
+def python_alias(text: str) -> tuple[str, set[str]]:
+    """``alias`` for code that already runs in Python."""
+    key = _fold(re.sub(rf"^\s*(?:{HONORIFICS})\s+", "", _bare(text), flags=re.IGNORECASE))
+    return "".join(c for c in key if c.isalnum()), set(re.findall("[a-z0-9]+", _fold(_bare(text)))) - set(ALIAS_STOPWORDS)
+
+
+def python_alias_same(a: str, b: str) -> bool:
+    (key, tokens), (other, others) = python_alias(a), python_alias(b)
+    both = tokens & others
+    return key == other or len(both) >= 2 or any(len(t) >= 6 for t in both)
+
+
+@F.udf(ArrayType(StringType()), useArrow=True)
+def titled_variables(bindings: dict[str, str] | None, titles: list[str] | None) -> list[str]:
+    """Variables whose value is an alias of one of the titles."""
+    return sorted(k for k, v in (bindings or {}).items() if v is not None and any(t is not None and python_alias_same(v, t) for t in titles or ()))
+
+
+def _key(word: str) -> str:
+    return "".join(c for c in _fold(word) if c.isalnum())
+
+
 @F.udf(StringType(), useArrow=True)
-def project_quote(source: str | None, quote: str | None) -> str | None:
-    """The shortest stretch of ``source`` from the left that has the quote's words in order; null if none."""
-    if not source or not quote:
+def project_quote(source: str | None, quote: str | None, values: list[str] | None = None) -> str | None:
+    """The stretch of ``source`` that spans the quote's words and those of each value, each found in order from the left; null if one is absent."""
+    places = [(_key(m.group()), m.start(), m.end()) for m in re.finditer(r"\w+", source or "")]
+    if not places or not (quote or "").strip():
         return None
-    at, found = 0, []
-    places = [(m.group().casefold(), m.start(), m.end()) for m in re.finditer(r"\w+", source)]
-    for w in re.findall(r"\w+", quote.casefold()):
-        while at < len(places) and places[at][0] != w:
-            at += 1
-        if at == len(places):
+    spans = []
+    for part in [quote, *(values or [])]:
+        at, words = 0, [k for k in (_key(w) for w in re.findall(r"\w+", part or "")) if k]
+        if not words:
             return None
-        found.append(places[at])
-        at += 1
-    return source[found[0][1] : found[-1][2]] if found else None
+        for w in words:
+            while at < len(places) and places[at][0] != w:
+                at += 1
+            if at == len(places):
+                return None
+            spans.append(places[at])
+            at += 1
+    return source[min(p[1] for p in spans) : max(p[2] for p in spans)]

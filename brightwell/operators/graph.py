@@ -29,10 +29,13 @@ def entity_overlap(nodes: DataFrame) -> DataFrame:
 
 
 def title_mention(nodes: DataFrame) -> DataFrame:
-    """From a sentence that names another passage's title to all sentences of that passage."""
-    titles = nodes.select("qid", "title").distinct().withColumn("norm", T.normalize_title("title"))
-    n = nodes.select("qid", "node_ord", F.col("title").alias("own"), F.concat(F.lit(" "), T.normalize_title("text"), F.lit(" ")).alias("body"))
-    named = n.join(titles, "qid").filter((F.col("own") != F.col("title")) & (F.col("norm") != "") & F.col("body").contains(F.concat(F.lit(" "), "norm", F.lit(" "))))
+    """From a sentence that names another passage's title to all sentences of that passage.
+
+    What is compared is made once for each sentence and title; the rest is a join within the question.
+    """
+    titles = nodes.select("qid", "title").distinct().withColumn("t", T.mention(F.col("title")))
+    n = nodes.select("qid", "node_ord", F.col("title").alias("own"), T.mention(F.col("text")).alias("m"))
+    named = n.join(titles, "qid").filter((F.col("own") != F.col("title")) & T.mentions(F.col("m"), F.col("t")))
     out = named.select("qid", F.col("node_ord").alias("src"), "title").join(nodes.select("qid", "title", F.col("node_ord").alias("dst")), ["qid", "title"])
     return out.select("qid", "src", "dst", F.lit("title_mention").alias("kind"), F.lit(2.0).alias("weight"))
 
@@ -46,13 +49,38 @@ def merged(*edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         every = every.unionByName(e)
     if kinds is not None:
         every = every.filter(F.col("kind").isin(kinds))
-    every = every.select("qid", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "kind", "weight")
-    return every.groupBy("qid", "src", "dst").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.max("weight").alias("weight"), F.max(F.struct("weight", "kind")).getField("kind").alias("kind"))
+    phase = F.when(F.col("kind") == "same_passage", 0).when(F.col("kind") == "entity_overlap", 1).otherwise(2)
+    seq = F.struct(phase.alias("phase"), F.col("src").alias("i"), F.col("dst").alias("j"))
+    every = every.select("qid", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "kind", "weight", seq.alias("seq"))
+    return every.groupBy("qid", "src", "dst").agg(
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
+        F.max("weight").alias("weight"),
+        F.max(F.struct("weight", "kind")).getField("kind").alias("kind"),
+        F.min("seq").alias("seq"),
+    )
+
+
+def typed(nodes: DataFrame) -> DataFrame:
+    """Directed edges ``qid, src, dst, kinds``: next and previous sentence, common entity (both ways), title mention (one way)."""
+    arc = lambda e, a, b, kind: e.select("qid", F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("kind"))
+    near, shared = adjacency(nodes), entity_overlap(nodes)
+    every = arc(near, "src", "dst", "next").unionByName(arc(near, "dst", "src", "previous"))
+    every = every.unionByName(arc(shared, "src", "dst", "entity_coreference")).unionByName(arc(shared, "dst", "src", "entity_coreference"))
+    every = every.unionByName(arc(title_mention(nodes), "src", "dst", "title_mention"))
+    return every.groupBy("qid", "src", "dst").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
 
+def neighbours(edges: DataFrame, pool: DataFrame) -> DataFrame:
+    """``qid, node_ord, neighbours``: adjacent nodes inside ``pool (qid, node_ord)``, in the order of the edges."""
+    inside = pool.select("qid", "node_ord").distinct()
+    arcs = both_ways(edges, "seq").join(inside.select("qid", F.col("node_ord").alias("src")), ["qid", "src"]).join(inside.select("qid", F.col("node_ord").alias("dst")), ["qid", "dst"])
+    lists = arcs.groupBy("qid", F.col("src").alias("node_ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "dst"))), lambda x: x["dst"]).alias("neighbours"))
+    return inside.join(lists, ["qid", "node_ord"], "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>")))
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    e = edges.select("qid", "src", "dst", "weight")
-    return e.unionByName(e.select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+def both_ways(edges: DataFrame, *more: str) -> DataFrame:
+    e = edges.select("qid", "src", "dst", "weight", *more)
+    return e.unionByName(e.select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", *more))
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
@@ -66,21 +94,70 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
     return found
 
 
+def paths_from_seeds(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
+    """``qid, node_ord, hop, disc, path``: breadth-first from ``seeds (qid, node_ord, rank)``.
+
+    A node's parent is the one that discovers it first: nodes in the order of their discovery, each
+    one's edges in the order of ``seq``.  ``path`` goes from the seed to the node.
+    """
+    arcs = both_ways(edges, "seq").select("qid", F.col("src").alias("node_ord"), "dst", "seq")
+    front = seeds.groupBy("qid", "node_ord").agg(F.min("rank").cast("bigint").alias("disc")).withColumns({"hop": F.lit(0), "path": F.array("node_ord")})
+    found = front
+    for h in range(1, most + 1):
+        step = front.join(arcs, ["qid", "node_ord"]).select("qid", F.col("dst").alias("node_ord"), F.struct("disc", "seq").alias("by"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.groupBy("qid", "node_ord").agg(F.min("by").alias("by"), F.min_by("path", "by").alias("path")).join(found.select("qid", "node_ord"), ["qid", "node_ord"], "left_anti")
+        disc = F.row_number().over(W.partitionBy("qid").orderBy("by")).cast("bigint")
+        front = step.select("qid", "node_ord", disc.alias("disc"), F.lit(h).alias("hop"), "path")
+        found = found.unionByName(front)
+    return found.select("qid", "node_ord", "hop", "disc", "path")
+
+
 def simple_paths(edges: DataFrame, pairs: DataFrame, most: int = 3, k: int = 3) -> DataFrame:
-    """Up to ``k`` shortest simple paths between ``pairs (qid, src, dst)``, ties in path order."""
-    arcs = both_ways(edges).select("qid", F.col("src").alias("at"), F.col("dst").alias("to"))
+    """Up to ``k`` shortest simple paths between ``pairs (qid, src, dst)``, ties in path order.
+
+    The last step is a look-up of the end, and pairs that have ``k`` paths walk no further.
+    """
+    return directed_paths(both_ways(edges), pairs, most, k)
+
+
+def directed_paths(edges: DataFrame, pairs: DataFrame, most: int = 3, k: int = 3) -> DataFrame:
+    """``simple_paths`` along edges in their own direction; a pair of equal ends has the path of one node."""
+    arcs = edges.select("qid", F.col("src").alias("at"), F.col("dst").alias("to"))
     walk = pairs.select("qid", "src", "dst", F.col("src").alias("at"), F.array("src").alias("path"))
-    ended = None
+    ended = walk.filter("src = dst").select("qid", "src", "dst", "path", F.lit(0).alias("hops"))
+    walk = walk.filter("src <> dst")
     for h in range(1, most + 1):
-        walk = walk.join(arcs, ["qid", "at"]).filter(~F.array_contains("path", F.col("to")))
-        walk = walk.select("qid", "src", "dst", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        done = walk.filter("at = dst").select("qid", "src", "dst", "path", F.lit(h).alias("hops"))
-        ended = done if ended is None else ended.unionByName(done)
-        walk = walk.filter("at <> dst")
+        last = arcs.select("qid", "at", F.col("to").alias("dst"))
+        done = walk.join(last, ["qid", "at", "dst"]).select("qid", "src", "dst", F.concat("path", F.array("dst")).alias("path"), F.lit(h).alias("hops"))
+        ended = ended.unionByName(done)
+        if h < most:
+            full = ended.groupBy("qid", "src", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+            walk = walk.join(full, ["qid", "src", "dst"], "left_anti").join(arcs, ["qid", "at"]).filter((F.col("to") != F.col("dst")) & ~F.array_contains("path", F.col("to")))
+            walk = walk.select("qid", "src", "dst", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
     rank = F.row_number().over(W.partitionBy("qid", "src", "dst").orderBy("hops", "path"))
     return ended.withColumn("path_rank", rank).filter(F.col("path_rank") <= k)
 
 
+def grounded_values(paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``qid, path, values``: what a path of typed edges carries.
+
+    A path of one node carries its entities, a title mention the title it leads to, a common entity the
+    entities of both sentences.
+    """
+    n = nodes.select("qid", "node_ord", "title", T.entities(F.col("text")).alias("entities"))
+    each = paths.select("qid", "path").distinct()
+    single = each.filter(F.size("path") == 1).select("qid", "path", F.get("path", F.lit(0)).alias("node_ord")).join(n, ["qid", "node_ord"]).select("qid", "path", F.explode("entities").alias("value"))
+    steps = each.select("qid", "path", F.explode(F.transform(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda x, i: F.struct(F.get("path", i).alias("src"), x.alias("dst")))).alias("s")).select("qid", "path", "s.*")
+    steps = steps.join(edges.select("qid", "src", "dst", "kinds"), ["qid", "src", "dst"])
+    a, b = n.select("qid", F.col("node_ord").alias("src"), F.col("entities").alias("ea")), n.select("qid", F.col("node_ord").alias("dst"), "title", F.col("entities").alias("eb"))
+    steps = steps.join(a, ["qid", "src"]).join(b, ["qid", "dst"])
+    none = F.array().cast("array<string>")
+    carried = F.concat(F.when(F.array_contains("kinds", "title_mention"), F.array("title")).otherwise(none), F.when(F.array_contains("kinds", "entity_coreference"), F.array_intersect("ea", "eb")).otherwise(none))
+    found = single.unionByName(steps.select("qid", "path", F.explode(carried).alias("value"))).filter("value <> ''")
+    lists = found.groupBy("qid", "path").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return each.join(lists, ["qid", "path"], "left").withColumn("values", F.coalesce("values", none))
+
+
 def _power(pdf: pd.DataFrame, restart: dict[int, float], rounds: int = 100) -> pd.DataFrame:
     ids = np.unique(np.concatenate([pdf.src, pdf.dst, list(restart)]).astype(np.int64))
     at = {int(i): k for k, i in enumerate(ids)}

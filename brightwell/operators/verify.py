@@ -66,17 +66,18 @@ def grounding_reject(bindings: Column, variables: Column, constraints: Column, l
     """
     norm = T.normalize
     value = lambda v: F.element_at(bindings, v)
-    titled = lambda v: F.exists(titles, lambda t: T.alias_match(value(v), t))
+    known = T.titled_variables(bindings, titles)
+    untitled = lambda vs: F.size(F.array_except(vs, known)) > 0
     free = F.filter(variables, lambda v: ~F.array_contains(terminal, v) & ~F.array_contains(F.map_keys(constraints), v))
     same_keys = F.array_sort(F.map_keys(bindings)) == F.array_sort(variables)
     blank = F.exists(F.map_values(bindings), lambda v: v.isNull() | (F.trim(v) == ""))
     return (
         F.when(~same_keys | blank, "variables")
         .when(F.exists(F.map_keys(constraints), lambda v: norm(value(v)) != norm(F.element_at(constraints, v))), "constraint")
-        .when(F.exists(links, lambda v: ~titled(v)), "link")
+        .when(untitled(links), "link")
         .when(F.exists(F.map_values(bindings), lambda v: norm(v).isin(*FORBIDDEN_VALUES)), "forbidden")
-        .when(F.exists(free, lambda v: ~norm(surface).contains(norm(value(v))) & ~titled(v)), "surface")
-        .when((quote != "") & T.project_quote(text, quote).isNull(), "quote")
+        .when(untitled(F.filter(free, lambda v: ~norm(surface).contains(norm(value(v))))), "surface")
+        .when((quote != "") & T.project_quote(text, quote, F.map_values(bindings)).isNull(), "quote")
     )
 
 
@@ -89,7 +90,8 @@ def dependency_options(sources: DataFrame, targets: DataFrame, paths: DataFrame,
     """
     s = sources.select("qid", "dep", F.col("key").alias("from_key"), F.col("binding").alias("from_binding"))
     t = targets.select("qid", "dep", F.col("key").alias("to_key"), F.col("binding").alias("to_binding"))
-    both = s.join(t, ["qid", "dep"]).filter(T.alias_match(F.col("from_binding"), F.col("to_binding")))
+    s, t = s.withColumn("fa", T.alias(F.col("from_binding"))), t.withColumn("ta", T.alias(F.col("to_binding")))
+    both = s.join(t, ["qid", "dep"]).filter(T.alias_same(F.col("fa"), F.col("ta"))).drop("fa", "ta")
     tasks = both.join(paths, ["qid", "from_key", "to_key"]).join(judged, ["qid", "dep", "path"], "left")
     missing = F.max(F.col("confidence").isNull()).over(W.partitionBy("qid", "dep"))
     rank = F.row_number().over(W.partitionBy("qid", "dep").orderBy("path_rank", F.desc("confidence"), "path", "from_key", "to_key"))
