@@ -649,7 +649,7 @@ def paired_delta(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap(table(s, d, "events"), "event_type", "value", "event_id", 1000)
+    return metrics.bootstrap(table(s, d, "events"), "event_type", "value", "event_id")
 
 
 @query("SELECT count(*)::BIGINT AS n_rows, count(DISTINCT user_id)::BIGINT AS n_qids, (count(*) - count(DISTINCT (user_id, event_type, user_id % 3)))::BIGINT AS duplicate_keys, sum((value > 100)::INT)::BIGINT AS budget_violations, count(DISTINCT event_type)::BIGINT AS n_methods FROM events")

@@ -128,3 +128,13 @@ def stratified(items: DataFrame, stratum: str, key: str, n: int, seed: int = 0)
     quota = counts.select(stratum, (F.col("floor") + (seat <= left).cast("bigint")).alias("quota"))
     place = F.row_number().over(W.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
     return items.withColumn("place", place).join(F.broadcast(quota), stratum).filter("place <= quota").drop("quota")
+
+
+def seeded(items: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """The first ``n`` in a seeded hash order, with their ``place``: a reproducible shuffle and head.
+
+    The head is a distributed top ``n``; only it is numbered in one task.
+    """
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    head = items.withColumn("mixed", mixed).orderBy("mixed", key).limit(n)
+    return head.withColumn("place", F.row_number().over(W.orderBy("mixed", key))).drop("mixed")
