@@ -113,24 +113,28 @@ class Codes:
 
 
 def sample(docs: DataFrame) -> DataFrame | None:
-    """``lang, text``: the texts to fit on, at most ``MAX_TRAIN`` or one of each language; None without any.
+    """``lang, h``: hashes of the texts to fit on, at most ``MAX_TRAIN`` or one of each language; None without any.
 
     Equal texts of a language are one, however many rows have them, so neither a repeated row nor a
     repeated doc_id makes the sample larger or leaves a language out.
     """
-    able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    able = able.select("lang", "text", F.xxhash64("text").alias("h"))
-    texts = common.written(able.select("lang", "h").distinct(), "texts")
+    texts = able(docs).select("lang", "h").distinct()
     sizes = common.written(texts.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
     n = sizes.count()
     if not n:
         return None
     most = max(1, MAX_TRAIN // n)
     # a share of the hashes, so that a language's window gets a bounded number of texts however many it has
-    drawn = F.pmod("h", F.lit(HASHES)) < F.lit(float(max(LEAST, DRAWN * most)) * HASHES) / F.col("size")
+    share = F.pmod("h", F.lit(HASHES)) < F.lit(float(max(LEAST, DRAWN * most)) * HASHES) / F.col("size")
+    drawn = common.joined(able(docs).select("lang", "h"), sizes, "lang", rows=n).filter(share).select("lang", "h").distinct()
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(HASHES)), "h"))
-    some = common.joined(texts, sizes, "lang", rows=n).filter(drawn).withColumn("place", first).filter(F.col("place") <= most).select("lang", "h")
-    return common.joined(able, common.written(some, "sample"), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+    return common.written(drawn.withColumn("place", first).filter(F.col("place") <= most).select("lang", "h"), "sample")
+
+
+def able(docs: DataFrame) -> DataFrame:
+    """``lang, text, h`` of the rows that may be learned from; ``h`` is a hash of the text."""
+    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return rows.select("lang", "text", F.xxhash64("text").alias("h"))
 
 
 def fit(docs: DataFrame) -> Codes | None:
@@ -140,10 +144,18 @@ def fit(docs: DataFrame) -> Codes | None:
         return None
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
+        seen: set[tuple[str, int]] = set()  # of the sample's keys, so bounded
         for b in batches:
-            yield [b["lang"], [features(t).tobytes() for t in b["text"]]]
-
-    rows = sorted(common.map_rows(some.select("text", "lang"), run, "lang string, x binary").collect())
+            out: list[list] = [[], [], []]
+            for lang, h, text in zip(b["lang"], b["h"], b["text"], strict=True):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    for c, v in zip(out, (lang, h, features(text).tobytes()), strict=True):
+                        c.append(v)
+            yield out
+
+    each = common.map_rows(common.joined(able(docs), some, ["lang", "h"]).select("lang", "h", "text"), run, "lang string, h bigint, x binary")
+    rows = sorted(each.groupBy("lang", "h").agg(F.min("x").alias("x")).collect())
     return Codes(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]), [r.lang for r in rows])
 
 

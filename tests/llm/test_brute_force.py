@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brightwell.llm import bpe, language, quality, token_counts
 
@@ -143,11 +144,12 @@ def test_language_sample_is_bounded_and_whole(spark, monkeypatch):
     rows += [(one, None, "es"), (one, "12 34", "it"), (one, "words without a language", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     monkeypatch.setattr(language, "MAX_TRAIN", 90)
-    found = [tuple(r) for r in language.sample(docs).collect()]
+    hashes = docs.select("lang", "text", F.xxhash64("text").alias("h")).distinct()
+    found = [(r.lang, r.text) for r in language.sample(docs).join(hashes, ["lang", "h"]).collect()]
     n = {k: sum(lang == k for lang, _ in found) for k in "en fr de es it".split()}
     assert n == {"en": 30, "fr": 1, "de": 30, "es": 0, "it": 0} and len(set(found)) == len(found)
     assert all(not held(int(t.split()[-1])) for lang, t in found if lang == "de")
-    assert language.fit(docs.limit(0)) is None
+    assert language.fit(docs.limit(0)) is None and language.fit(docs).names == ["de", "en", "fr"]
 
 
 def test_language_accuracy_on_held_out_documents(spark):
