@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from brightwell import catalog
 
-HEADLINE = ["dense_prefix_topk", "normalized_topk", "rrf_topk", "pair_fold", "conditional_fold", "seed_topk_vectors", "paired_delta", "need_bucket", "context_compact", "text_functions"]
+HEADLINE = ["dense_prefix_topk", "normalized_topk", "rrf_topk", "pair_fold", "conditional_fold", "seed_topk_vectors", "paired_delta", "need_bucket", "context_compact", "text_functions", "entity_overlap_edges", "fixed_hop2_topk", "links_top_l"]
 
 
 def main() -> None:

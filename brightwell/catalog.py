@@ -234,6 +234,13 @@ def edge_view(s: SparkSession, d: str) -> DataFrame:
     return graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n))
 
 
+def arc_view(s: SparkSession, d: str) -> DataFrame:
+    """The edges as they are made, not merged: enough where only neighbours count."""
+    n = node_view(s, d)
+    parts = [e.select("qid", "src", "dst", "weight") for e in (graph.adjacency(n), graph.entity_overlap(n, once=False), graph.title_mention(n))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"WITH {NODES}, {ADJ} SELECT qid, src, dst FROM adj")
 def adjacency_edges(s: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(node_view(s, d)).select("qid", "src", "dst")
@@ -281,7 +288,7 @@ found AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS} SELECT qid, node_ord, hop FROM r2")
 def bfs_min_hop(s: SparkSession, d: str) -> DataFrame:
     sc = methods.scored(questions(s, d), node_view(s, d))
-    return graph.hops(edge_view(s, d), methods.seeds(sc), 2)
+    return graph.hops(arc_view(s, d), methods.seeds(sc), 2)
 
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}{DISCOVERED} SELECT qid, node_ord, hop, disc::BIGINT AS disc, array_to_string(path, '-') AS path FROM found")
@@ -366,12 +373,12 @@ def dense_prefix_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}, pool AS (SELECT scored.* FROM scored JOIN r1 USING (qid, node_ord))" + PREFIX.format("pool"))
 def fixed_hop1_topk(s: SparkSession, d: str) -> DataFrame:
-    return methods.fixed_hop(questions(s, d), node_view(s, d), edge_view(s, d), 1, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
+    return methods.fixed_hop(questions(s, d), node_view(s, d), arc_view(s, d), 1, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
 
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}, pool AS (SELECT scored.* FROM scored JOIN r2 USING (qid, node_ord))" + PREFIX.format("pool"))
 def fixed_hop2_topk(s: SparkSession, d: str) -> DataFrame:
-    return methods.fixed_hop(questions(s, d), node_view(s, d), edge_view(s, d), 2, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
+    return methods.fixed_hop(questions(s, d), node_view(s, d), arc_view(s, d), 2, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
 
 
 ANCH = ", anch AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord) AS anchor_rank FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY semantic DESC, node_ord) = 1) QUALIFY anchor_rank <= 2)"

@@ -20,12 +20,16 @@ def adjacency(nodes: DataFrame) -> DataFrame:
     return nodes.select("qid", F.col("node_ord").alias("src"), after.alias("dst"), F.lit("same_passage").alias("kind"), F.lit(1.0).alias("weight")).filter("dst is not null")
 
 
-def entity_overlap(nodes: DataFrame) -> DataFrame:
-    """Sentences of different titles with a common entity: an equi-join on the entity, not on overlap."""
+def entity_overlap(nodes: DataFrame, once: bool = True) -> DataFrame:
+    """Sentences of different titles with a common entity: an equi-join on the entity, not on overlap.
+
+    Each pair ``once``, or as often as it has common entities, which saves an exchange.
+    """
     e = nodes.select("qid", "node_ord", "title", F.explode(T.entities(F.col("text"))).alias("entity"))
     a, b = e.alias("a"), e.alias("b")
     pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.node_ord") < F.col("b.node_ord")) & (F.col("a.title") != F.col("b.title")))
-    return pairs.select(F.col("a.qid").alias("qid"), F.col("a.node_ord").alias("src"), F.col("b.node_ord").alias("dst")).distinct().withColumns({"kind": F.lit("entity_overlap"), "weight": F.lit(1.0)})
+    pairs = pairs.select(F.col("a.qid").alias("qid"), F.col("a.node_ord").alias("src"), F.col("b.node_ord").alias("dst"))
+    return (pairs.distinct() if once else pairs).withColumns({"kind": F.lit("entity_overlap"), "weight": F.lit(1.0)})
 
 
 def title_mention(nodes: DataFrame) -> DataFrame:
