@@ -43,6 +43,11 @@ MORE = 5
 LEADER_PAIRS = 500
 #: Copies of each hot key where these are too many to broadcast.
 SPREAD = 64
+#: One of so many texts (by hash) is looked at to find tokens that most texts share; that decides where rows go, never which.
+SAMPLE = 64
+#: Tokens in so many sampled texts are dealt to ``SPREAD`` parts, the ``HOT_MOST`` most frequent at most: any other has less than 1 / HOT_MOST of the rows.
+HOT_LEAST = 64
+HOT_MOST = 20_000
 #: Classes that a task of the prefix scan remembers, to emit copies only once.
 SEEN = 200_000
 _ODD = np.random.default_rng(7).integers(0, 2**63, WIDTH + ROUNDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,12 +133,26 @@ def prefix_rows(docs: DataFrame) -> DataFrame:
     return common.map_rows(docs.select("text"), run, "tok bigint, h bigint")
 
 
+def hot_tokens(sampled: DataFrame) -> DataFrame:
+    """``tok`` of those in the most sampled rows ``(tok, h)`` and in two ``h`` at least; ``HOT_MOST`` rows at most, so it may be broadcast."""
+    often = sampled.groupBy("tok").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    often = often.filter((F.col("n") >= HOT_LEAST) & (F.col("lo") < F.col("hi")))
+    return common.written(often.orderBy(F.desc("n"), "tok").limit(HOT_MOST).select("tok"), "often")
+
+
 def sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes that may link: enough of their prefix tokens are in another class's prefix."""
-    w = W.partitionBy("tok").orderBy("h")
+    """Classes that may link: enough of their prefix tokens are in another class's prefix.
+
+    A token that the sample shows in two classes is shared for certain, so its rows need not meet and
+    are dealt by class; those of any other token meet in one task.
+    """
+    hot = hot_tokens(prefix_rows(docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)))
+    rows = prefix_rows(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "tok", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("h"), F.lit(SPREAD))).otherwise(0))
+    w = W.partitionBy("tok", "salt").orderBy("h")
     every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = prefix_rows(docs).select("h", F.lag("h").over(w).alias("before"), F.min("h").over(every).alias("lo"), F.max("h").over(every).alias("hi"))
-    shared = rows.filter("lo <> hi and (before is null or before <> h)").groupBy("h").agg(F.count("*").alias("shared"))
+    rows = rows.select("h", "hot", F.lag("h").over(w).alias("before"), F.min("h").over(every).alias("lo"), F.max("h").over(every).alias("hi"))
+    shared = rows.filter("(hot or lo <> hi) and (before is null or before <> h)").groupBy("h").agg(F.count("*").alias("shared"))
     enough = F.greatest(F.lit(1), F.floor(_need(F.col("n")) / MORE))
     return classes.join(shared, classes.k1 == shared.h).filter(F.col("shared") >= enough).select("id", "k1", "k2")
 
@@ -239,11 +258,18 @@ def across(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
     Tokens with the same posting list (those of a passage that many texts share) are one column of
     the matrix, with their number as its weight: nothing is lost and a pair meets once a passage.
+    Tokens in very many texts get their sums by partial aggregates, and no task gets all their rows.
     """
-    member = sets.select("id", "toks").join(labels, "id", "left").withColumn("g", F.coalesce("component", "id"))
-    w = W.partitionBy("tok")
-    toks = member.select("id", "g", F.explode("toks").alias("tok"))
-    toks = toks.select("id", "g", F.min("g").over(w).alias("lo"), F.max("g").over(w).alias("hi"), F.count("*").over(w).alias("df"), F.bit_xor(F.xxhash64("id")).over(w).alias("posting"))
+    cells = lambda of: of.select("id", F.explode("toks").alias("tok"))
+    own = lambda of: of.join(labels, "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
+    sums = {"lo": F.min("g"), "hi": F.max("g"), "df": F.count("*"), "posting": F.bit_xor(F.xxhash64("id"))}
+    hot = hot_tokens(cells(sets.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).withColumnRenamed("id", "h"))
+    known = own(cells(sets).join(F.broadcast(hot), "tok")).groupBy("tok").agg(*[c.alias(f"{n}_hot") for n, c in sums.items()])
+    known = common.written(known, "known")
+    toks = own(sets.select("id", "toks")).select("id", "g", F.explode("toks").alias("tok")).join(F.broadcast(known), "tok", "left")
+    toks = toks.withColumn("salt", F.when(F.col("df_hot") > 0, F.pmod(F.hash("id"), F.lit(SPREAD))).otherwise(0))
+    w = W.partitionBy("tok", "salt")
+    toks = toks.select("id", "g", *[F.coalesce(f"{n}_hot", c.over(w)).alias(n) for n, c in sums.items()])
     cross = toks.filter("lo <> hi").groupBy("id", "g", "df", F.xxhash64("df", "posting").alias("col")).agg(F.count("*").alias("weight"))
     cross = common.written(cross, "matrix", reclaim=True).join(sets.select("id", "n"), "id")
     able = cross.groupBy("id").agg(F.sum("weight").alias("inside"), F.first("n").alias("n")).filter(F.col("inside") >= _need(F.col("n"))).select("id", "inside")

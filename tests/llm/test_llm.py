@@ -41,7 +41,11 @@ def test_bpe_matches_the_library():
         assert own.decode_bytes(ids).decode() == t.decode(e, skip_special_tokens=False)
 
 
-def test_jaccard_against_brute_force(spark):
+@pytest.mark.parametrize("hot_from", [None, 3])
+def test_jaccard_against_brute_force(spark, monkeypatch, hot_from):
+    if hot_from:  # every text is sampled and most shared tokens are dealt
+        monkeypatch.setattr(jaccard, "SAMPLE", 1)
+        monkeypatch.setattr(jaccard, "HOT_LEAST", hot_from)
     rng = random.Random(5)
     prose = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
     passages, base, docs = [prose(60) for _ in range(3)], prose(100), []
