@@ -133,10 +133,10 @@ def prefix_rows(docs: DataFrame) -> DataFrame:
     return common.map_rows(docs.select("text"), run, "tok bigint, h bigint")
 
 
-def hot_tokens(sampled: DataFrame) -> DataFrame:
-    """``tok`` of those in the most sampled rows ``(tok, h)`` and in two ``h`` at least; ``HOT_MOST`` rows at most, so it may be broadcast."""
+def hot_tokens(sampled: DataFrame, values: int) -> DataFrame:
+    """``tok`` of those in the most sampled rows ``(tok, h)`` and in ``values`` (1 or 2) ``h`` at least; ``HOT_MOST`` rows at most, so it may be broadcast."""
     often = sampled.groupBy("tok").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    often = often.filter((F.col("n") >= HOT_LEAST) & (F.col("lo") < F.col("hi")))
+    often = often.filter((F.col("n") >= HOT_LEAST) & (F.lit(values == 1) | (F.col("lo") < F.col("hi"))))
     return common.written(often.orderBy(F.desc("n"), "tok").limit(HOT_MOST).select("tok"), "often")
 
 
@@ -146,7 +146,7 @@ def sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
     A token that the sample shows in two classes is shared for certain, so its rows need not meet and
     are dealt by class; those of any other token meet in one task.
     """
-    hot = hot_tokens(prefix_rows(docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)))
+    hot = hot_tokens(prefix_rows(docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)), 2)
     rows = prefix_rows(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "tok", "left")
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("h"), F.lit(SPREAD))).otherwise(0))
     w = W.partitionBy("tok", "salt").orderBy("h")
@@ -260,18 +260,23 @@ def across(sets: DataFrame, labels: DataFrame) -> DataFrame:
     the matrix, with their number as its weight: nothing is lost and a pair meets once a passage.
     Tokens in very many texts get their sums by partial aggregates, and no task gets all their rows.
     """
-    cells = lambda of: of.select("id", F.explode("toks").alias("tok"))
-    own = lambda of: of.join(labels, "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
+    member = sets.select("id", "toks").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "toks")
+    member = common.written(member, "member", reclaim=True)
+    cells = member.select("id", "g", F.explode("toks").alias("tok"))
     sums = {"lo": F.min("g"), "hi": F.max("g"), "df": F.count("*"), "posting": F.bit_xor(F.xxhash64("id"))}
-    hot = hot_tokens(cells(sets.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).withColumnRenamed("id", "h"))
-    known = own(cells(sets).join(F.broadcast(hot), "tok")).groupBy("tok").agg(*[c.alias(f"{n}_hot") for n, c in sums.items()])
+    hot = hot_tokens(cells.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).withColumnRenamed("g", "h"), 1)
+    # one pass at any size: the rows of all other tokens become a sum in each task, under no token
+    marked = cells.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "tok", "left")
+    known = marked.groupBy(F.when(F.col("hot"), F.col("tok")).alias("tok")).agg(*[c.alias(f"{n}_hot") for n, c in sums.items()])
     known = common.written(known, "known")
-    toks = own(sets.select("id", "toks")).select("id", "g", F.explode("toks").alias("tok")).join(F.broadcast(known), "tok", "left")
+    toks = cells.join(F.broadcast(known), "tok", "left")
     toks = toks.withColumn("salt", F.when(F.col("df_hot") > 0, F.pmod(F.hash("id"), F.lit(SPREAD))).otherwise(0))
     w = W.partitionBy("tok", "salt")
     toks = toks.select("id", "g", *[F.coalesce(f"{n}_hot", c.over(w)).alias(n) for n, c in sums.items()])
     cross = toks.filter("lo <> hi").groupBy("id", "g", "df", F.xxhash64("df", "posting").alias("col")).agg(F.count("*").alias("weight"))
-    cross = common.written(cross, "matrix", reclaim=True).join(sets.select("id", "n"), "id")
+    cross = common.written(cross, "matrix", reclaim=True)
+    common.discard(member)
+    cross = cross.join(sets.select("id", "n"), "id")
     able = cross.groupBy("id").agg(F.sum("weight").alias("inside"), F.first("n").alias("n")).filter(F.col("inside") >= _need(F.col("n"))).select("id", "inside")
     # the tokens outside the matrix are the rarest, so they come first; "rest" are those from a column on
     earlier = F.coalesce(F.sum("weight").over(W.partitionBy("id").orderBy("df", "col").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
