@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import certify, context, fusion, graph, metrics, prompts, selection, verify
+from .operators import certify, context, fusion, graph, linked, metrics, prompts, selection, verify
 from .plans import methods, sweeps
 from .sources import multihop, reports
 
@@ -288,7 +288,7 @@ found AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS} SELECT qid, node_ord, hop FROM r2")
 def bfs_min_hop(s: SparkSession, d: str) -> DataFrame:
     sc = methods.scored(questions(s, d), node_view(s, d))
-    return graph.hops(arc_view(s, d), methods.seeds(sc), 2)
+    return linked.hops(methods.ranked(sc), 2)
 
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}{DISCOVERED} SELECT qid, node_ord, hop, disc::BIGINT AS disc, array_to_string(path, '-') AS path FROM found")

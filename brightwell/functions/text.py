@@ -36,9 +36,7 @@ def count_tokens(c: Column) -> Column:
 @F.udf(StringType(), useArrow=True)
 def fold(text: str | None) -> str | None:
     """Case folded and compatibility decomposed, without combining marks."""
-    if text is None:
-        return None
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    return None if text is None else _fold(text)
 
 
 def without_suffix(c: Column) -> Column:
@@ -150,7 +148,13 @@ def usd(prompt: Column, output: Column) -> Column:
 
 
 def _fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    if text.isascii():
+        return text.casefold()
+    text = unicodedata.normalize("NFKD", text.casefold())
+    for c in set(text):
+        if c >= "\u0300" and unicodedata.combining(c):
+            text = text.replace(c, "")
+    return text
 
 
 def _bare(text: str) -> str:
@@ -163,6 +167,33 @@ def python_alias(text: str) -> tuple[str, set[str]]:
     return "".join(c for c in key if c.isalnum()), set(re.findall("[a-z0-9]+", _fold(_bare(text)))) - set(ALIAS_STOPWORDS)
 
 
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # Java's (?U)\s
+_SUFFIX = re.compile(rf"(?:{_SPACES.pattern})?\([^()]*\)(?:{_SPACES.pattern})?$")
+_TITLED = re.compile(rf"^(?:{_SPACES.pattern})?(?:{HONORIFICS}){_SPACES.pattern}", re.IGNORECASE)
+
+
+_ALNUM = b"0123456789abcdefghijklmnopqrstuvwxyz"
+_SIGNS = bytes(c for c in range(128) if c not in _ALNUM + _ALNUM.upper())
+_WORDS = bytes(c if c in _ALNUM else 32 for c in range(256))
+
+
+def python_mention(text: str) -> tuple[str, str, list[str]]:
+    """``mention`` for code that already runs in Python: normal form, key and alias tokens."""
+    bare = _SUFFIX.sub("", text) if ")" in text else text
+    folded = _fold(bare)
+    named = _TITLED.sub("", bare)
+    raw = folded.encode()
+    key = (raw if named == bare else _fold(named).encode()).translate(None, _SIGNS).decode()
+    if not key.isascii():
+        for c in set(key):
+            if c > "\x7f" and unicodedata.category(c)[0] not in "LN":
+                key = key.replace(c, "")
+    norm = text.lower()
+    # str.split also parts at four control characters, which Java doesn't
+    norm = _SPACES.sub(" ", norm).strip(" ") if any(c in norm for c in "\x1c\x1d\x1e\x1f") else " ".join(norm.split())
+    return norm, key, list(set(raw.translate(_WORDS).decode().split()).difference(ALIAS_STOPWORDS))
+
+
 def python_alias_same(a: str, b: str) -> bool:
     (key, tokens), (other, others) = python_alias(a), python_alias(b)
     both = tokens & others

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import text as T
-from ..operators import graph, selection
+from ..operators import graph, linked, selection
 
 
 def words(c: Column) -> Column:
@@ -32,6 +33,13 @@ def seeds(s: DataFrame, n: int = 5) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def ranked(s: DataFrame, n: int = 5) -> DataFrame:
+    """All sentences, the seeds among them with their ``rank``, as the searches of ``linked`` start from them."""
+    w = W.partitionBy("qid").orderBy(F.desc("semantic"), "node_ord")
+    place = F.row_number().over(w)
+    return s.withColumn("rank", F.when(place <= n, place))
+
+
 def candidates(s: DataFrame) -> DataFrame:
     return s.withColumns({"ord": F.col("node_ord"), "cost": F.col("n_tokens")})
 
@@ -40,10 +48,14 @@ def dense(questions: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFram
     return selection.topk(candidates(scored(questions, nodes).withColumn("graph", F.lit(0.0))), 1.0, budget=budget)
 
 
-def fixed_hop(questions: DataFrame, nodes: DataFrame, edges: DataFrame, most: int, budget: int | None = 200, alpha: float = 1.0) -> DataFrame:
-    """Best of the nodes within ``most`` hops of the seeds; the graph score is 1 / (1 + hop)."""
+def fixed_hop(questions: DataFrame, nodes: DataFrame, edges: DataFrame | None, most: int, budget: int | None = 200, alpha: float = 1.0) -> DataFrame:
+    """Best of the nodes within ``most`` hops of the seeds; the graph score is 1 / (1 + hop).
+
+    Without ``edges`` along those of the nodes' own graph, which are not made for it.
+    """
     s = scored(questions, nodes)
-    pool = s.join(graph.hops(edges, seeds(s), most), ["qid", "node_ord"]).withColumn("graph", 1 / (1 + F.col("hop")))
+    near = linked.hops(ranked(s), most) if edges is None else graph.hops(edges, seeds(s), most)
+    pool = s.join(near, ["qid", "node_ord"]).withColumn("graph", 1 / (1 + F.col("hop")))
     return selection.topk(candidates(pool), alpha, budget=budget)
 
 
@@ -73,16 +85,21 @@ def anchors(s: DataFrame, most: int = 2, named: DataFrame | None = None) -> Data
     return best.withColumn("anchor_rank", F.row_number().over(w.orderBy(F.desc("first"), F.when(F.col("first"), F.col("np")).otherwise(F.col("rest"))))).drop("pos", "np", "first", "taken", "rest")
 
 
-def links(questions: DataFrame, s: DataFrame, edges: DataFrame, anchor: DataFrame, top: int | None = 2, least_gain: float | None = None, least_score: float | None = None) -> DataFrame:
+def links(questions: DataFrame, s: DataFrame, edges: DataFrame | None, anchor: DataFrame, top: int | None = 2, least_gain: float | None = None, least_score: float | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Cross-title neighbours of anchors, scored against the question with the anchor as known evidence.
 
     The best ``top`` of each anchor, then those with the least gain and score asked for; each endpoint
-    keeps its best anchor.
+    keeps its best anchor.  Without ``edges`` the anchors are looked up in the graph of ``nodes``; anchors
+    are few for each question and are broadcast.
     """
     known = F.concat(F.col("question"), F.lit("\nKnown evidence: "), F.col("title"), F.lit(": "), F.col("text"))
     a = anchor.join(questions.select("qid", "question"), "qid").select("qid", F.col("node_ord").alias("src"), F.col("title").alias("anchor_title"), "anchor_rank", words(known).alias("qw"))
-    e = graph.both_ways(edges).select("qid", "src", F.col("dst").alias("node_ord"))
-    j = a.join(e, ["qid", "src"]).join(s.select("qid", "node_ord", "title", "semantic", words(F.col("text")).alias("sw")), ["qid", "node_ord"]).filter("title <> anchor_title")
+    if edges is None:
+        at = anchor.select("qid", "node_ord", F.col("anchor_rank").alias("rank"))
+        e = linked.arcs(nodes.join(F.broadcast(at), ["qid", "node_ord"], "left")).withColumnRenamed("dst", "node_ord")
+    else:
+        e = graph.both_ways(edges).select("qid", "src", F.col("dst").alias("node_ord"))
+    j = s.select("qid", "node_ord", "title", "semantic", "text").join(e, ["qid", "node_ord"]).join(F.broadcast(a), ["qid", "src"]).filter("title <> anchor_title").withColumn("sw", words(F.col("text")))
     j = j.withColumn("cond", overlap(F.col("qw"), F.col("sw"))).withColumn("gain", F.round(F.col("cond") - F.coalesce("semantic", F.lit(0.0)), 6))
     if top is not None:
         j = j.withColumn("place", F.row_number().over(W.partitionBy("qid", "src").orderBy(F.desc("cond"), "node_ord"))).filter(F.col("place") <= top)
@@ -94,10 +111,16 @@ def links(questions: DataFrame, s: DataFrame, edges: DataFrame, anchor: DataFram
     return j.withColumn("best", F.row_number().over(w)).filter("best = 1").select("qid", F.col("src").alias("anchor"), "node_ord", "cond", "gain")
 
 
-def pool(questions: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 2, seed_n: int = 5) -> DataFrame:
-    """Candidates within ``most`` hops of the seeds, in the order of discovery: ``hop, path, graph = 1 / (1 + hop)``."""
+def pool(questions: DataFrame, nodes: DataFrame, edges: DataFrame | None, most: int = 2, seed_n: int = 5) -> DataFrame:
+    """Candidates within ``most`` hops of the seeds, in the order of discovery: ``hop, path, graph = 1 / (1 + hop)``.
+
+    Without ``edges`` along those of the nodes' own graph; the search is kept on disk, as callers read a pool several times.
+    """
     s = scored(questions, nodes)
-    found = graph.paths_from_seeds(edges, seeds(s, seed_n).select("qid", "node_ord", "rank"), most)
+    if edges is None:
+        found = linked.paths(ranked(s, seed_n), most).persist(StorageLevel.DISK_ONLY)
+    else:
+        found = graph.paths_from_seeds(edges, seeds(s, seed_n).select("qid", "node_ord", "rank"), most)
     order = F.row_number().over(W.partitionBy("qid").orderBy("hop", "disc"))
     return s.join(found, ["qid", "node_ord"]).withColumns({"graph": 1 / (1 + F.col("hop")), "ord": order, "cost": F.col("n_tokens")})
 
@@ -109,16 +132,16 @@ def _with_links(c: DataFrame, linked: DataFrame) -> DataFrame:
     return c.join(linked, ["qid", "node_ord"], "left").withColumn("validated", F.col("anchor").isNotNull())
 
 
-def routed_pairs(questions: DataFrame, nodes: DataFrame, edges: DataFrame, budget: int = 200, beta: float = 0.3) -> DataFrame:
+def routed_pairs(questions: DataFrame, nodes: DataFrame, edges: DataFrame | None, budget: int = 200, beta: float = 0.3) -> DataFrame:
     """Direct questions by coverage of their pool, others by anchor-endpoint pairs."""
     route = questions.select("qid", T.route(F.col("question")).alias("route"))
     c = pool(questions, nodes, edges).join(route, "qid")
     direct = selection.coverage(c.filter("route = 'direct_comparison'"), budget, 0.0)
     others = c.filter("route <> 'direct_comparison'")
-    return direct.unionByName(selection.pair_fold(_with_links(others, links(questions, others, edges, anchors(others))), beta, budget))
+    return direct.unionByName(selection.pair_fold(_with_links(others, links(questions, others, edges, anchors(others), nodes=nodes)), beta, budget))
 
 
-def routed_witnesses(questions: DataFrame, nodes: DataFrame, edges: DataFrame, budget: int = 200, beta: float = 0.3, least: float = 0.015, titles_on_bridge: bool = False) -> DataFrame:
+def routed_witnesses(questions: DataFrame, nodes: DataFrame, edges: DataFrame | None, budget: int = 200, beta: float = 0.3, least: float = 0.015, titles_on_bridge: bool = False) -> DataFrame:
     """The least witness that the route asks for.
 
     Direct questions: one sentence for each named title, of all sentences.  Others: validated pairs with
@@ -136,6 +159,6 @@ def routed_witnesses(questions: DataFrame, nodes: DataFrame, edges: DataFrame, b
         c = around.filter(F.col("route") == kind)
         if not (titles_on_bridge and kind == "bridge_comparison"):
             c = c.drop("preferred")
-        c = _with_links(c, links(questions, c, edges, anchors(c, 2, first), least_gain=0.0))
+        c = _with_links(c, links(questions, c, edges, anchors(c, 2, first), least_gain=0.0, nodes=nodes))
         out = out.unionByName(selection.chain_witness(c, budget, chains, fallback, beta=beta, least=least, serialized=True))
     return out
