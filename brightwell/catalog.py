@@ -293,8 +293,8 @@ def bfs_min_hop(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}{DISCOVERED} SELECT qid, node_ord, hop, disc::BIGINT AS disc, array_to_string(path, '-') AS path FROM found")
 def bfs_paths(s: SparkSession, d: str) -> DataFrame:
-    seeds = methods.seeds(methods.scored(questions(s, d), node_view(s, d))).select("qid", "node_ord", "rank")
-    return graph.paths_from_seeds(edge_view(s, d), seeds, 2).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+    sc = methods.scored(questions(s, d), node_view(s, d))
+    return linked.paths(methods.ranked(sc), 2).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
 
 
 @query(f"""WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS} SELECT r1.qid, r1.node_ord, count(p.node_ord)::BIGINT AS n, coalesce(md5(string_agg(CASE WHEN p.node_ord IS NOT NULL THEN a.dst END, ',' ORDER BY a.seq, a.dst)), md5('')) AS neighbours
