@@ -373,7 +373,7 @@ def dense_prefix_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}, pool AS (SELECT scored.* FROM scored JOIN r1 USING (qid, node_ord))" + PREFIX.format("pool"))
 def fixed_hop1_topk(s: SparkSession, d: str) -> DataFrame:
-    return methods.fixed_hop(questions(s, d), node_view(s, d), arc_view(s, d), 1, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
+    return methods.fixed_hop(questions(s, d), node_view(s, d), None, 1, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
 
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}, pool AS (SELECT scored.* FROM scored JOIN r2 USING (qid, node_ord))" + PREFIX.format("pool"))
