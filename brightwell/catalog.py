@@ -378,7 +378,7 @@ def fixed_hop1_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}, pool AS (SELECT scored.* FROM scored JOIN r2 USING (qid, node_ord))" + PREFIX.format("pool"))
 def fixed_hop2_topk(s: SparkSession, d: str) -> DataFrame:
-    return methods.fixed_hop(questions(s, d), node_view(s, d), arc_view(s, d), 2, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
+    return methods.fixed_hop(questions(s, d), node_view(s, d), None, 2, BUDGET).select("qid", "title", "sent_id", "semantic", "used")
 
 
 ANCH = ", anch AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord) AS anchor_rank FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY qid, title ORDER BY semantic DESC, node_ord) = 1) QUALIFY anchor_rank <= 2)"
