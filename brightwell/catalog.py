@@ -399,7 +399,7 @@ linked AS (SELECT qid, anchor, node_ord, cond, round(cond - semantic, 6) AS gain
 @query(f"WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS}{ANCH}, {LINKED} SELECT * FROM linked")
 def links_top_l(s: SparkSession, d: str) -> DataFrame:
     sc = methods.scored(questions(s, d), node_view(s, d))
-    return methods.links(questions(s, d), sc, edge_view(s, d), methods.anchors(sc))
+    return methods.links(questions(s, d), sc, None, methods.anchors(sc), nodes=node_view(s, d))
 
 
 @query(f"""WITH {NODES}{SCORED}, nm AS (SELECT DISTINCT qid, title, dense_rank() OVER (PARTITION BY qid ORDER BY title DESC) - 1 AS pos FROM nodes WHERE qid % 2 = 0 QUALIFY pos < qid % 4),
