@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .catalog import BUDGET, EDGES, HOPS, LINE_BUDGET, LINES, NODES, SCORED, SEEDS, edge_view, line_view, node_view, query, questions, table
-from .operators import diagnostics, graph, metrics
+from .catalog import BUDGET, EDGES, HOPS, LINE_BUDGET, LINES, NODES, SCORED, SEEDS, line_view, node_view, query, questions, table
+from .operators import diagnostics, linked, metrics
 from .plans import methods
 from .sources import caches, multihop
 
@@ -45,7 +45,7 @@ def reachability(s: SparkSession, d: str) -> DataFrame:
     """Gold are the best sentences of a question's six best titles."""
     sc = methods.scored(questions(s, d), node_view(s, d))
     gold = methods.anchors(sc, 6)
-    out = diagnostics.reachability(gold, graph.hops(edge_view(s, d), methods.seeds(sc), 2), BUDGET)
+    out = diagnostics.reachability(gold, linked.hops(methods.ranked(sc), 2), BUDGET)
     return out.withColumns({c: F.round(c, 6) for c in ("one_hop_recall", "two_hop_recall")})
 
 
