@@ -150,10 +150,22 @@ WHERE a.key = b.key OR len(list_intersect(a.t, b.t)) >= 2 OR len([x FOR x IN lis
 def alias_match_pairs(s: SparkSession, d: str) -> DataFrame:
     k, n = F.col("p_partkey") % 5, F.col("p_name")
     name = F.when(k == 0, F.concat(F.lit("Dr. "), n)).when(k == 1, F.concat(n, F.lit(" (film)"))).when(k == 2, F.upper(n)).when(k == 3, F.replace(n, F.lit("e"), F.lit("é"))).otherwise(n)
-    p = table(s, d, "part").select("p_partkey", "p_brand", T.alias(name).alias("k"))
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.filter(T.alias_same(F.col("a.k"), F.col("b.k"))).groupBy(F.col("a.p_brand").alias("p_brand")).agg(F.count("*").alias("pairs"))
+    p = table(s, d, "part").filter("p_partkey is not null").select("p_partkey", "p_brand", T.alias(name).alias("k"))
+    p = p.select("p_partkey", "p_brand", F.struct(F.col("k.key").alias("key"), F.array_sort("k.tokens").alias("tokens")).alias("k"))
+
+    def pairs(*by: str) -> DataFrame:
+        """Parts of one form are compared once: n of them make n (n - 1) / 2 pairs, if the form matches itself."""
+        n = p.groupBy(*by, "k").agg(F.count("*").alias("n"))
+        a, b = n.alias("a"), n.alias("b")
+        same = F.col("a.k") <= F.col("b.k")
+        for c in by:
+            same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        times = F.when(F.col("a.k") == F.col("b.k"), F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
+        return a.join(b, same).filter(T.alias_same(F.col("a.k"), F.col("b.k"))).select(F.col("a.p_brand").alias("p_brand"), times.alias("pairs"))
+
+    # rows of one key are no pair
+    out = pairs("p_brand").unionByName(pairs("p_brand", "p_partkey").withColumn("pairs", -F.col("pairs")))
+    return out.groupBy("p_brand").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
 
 
 @query(f"""WITH t AS (SELECT p_partkey, name, {_KEY.format('name')} AS key, {_TOKENS.format('name')} AS tokens FROM ({_ALIASED}))
