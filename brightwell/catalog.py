@@ -550,7 +550,7 @@ def mass_fold(s: SparkSession, d: str) -> DataFrame:
 @query()
 def closed_mass_select(s: SparkSession, d: str) -> DataFrame:
     """Mass selection over the two-hop pool of the documents, nodes with their path from the seed."""
-    return selection.closed_mass(methods.pool(questions(s, d), node_view(s, d), edge_view(s, d)), 0.6, BUDGET)
+    return selection.closed_mass(methods.pool(questions(s, d), node_view(s, d), None), 0.6, BUDGET)
 
 
 @query(f"""WITH {LINES}, l AS (SELECT qid, list(ord::INT ORDER BY semantic DESC, ord) AS sem, list(ord::INT ORDER BY graph DESC, semantic DESC, ord) AS gra, list(cost ORDER BY ord) AS cost FROM c GROUP BY qid),
