@@ -597,7 +597,7 @@ def entity_witness(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def routed_pairs(s: SparkSession, d: str) -> DataFrame:
-    return methods.routed_pairs(questions(s, d), node_view(s, d), edge_view(s, d), BUDGET)
+    return methods.routed_pairs(questions(s, d), node_view(s, d), None, BUDGET)
 
 
 @query()
