@@ -602,7 +602,7 @@ def routed_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def routed_witnesses(s: SparkSession, d: str) -> DataFrame:
-    return methods.routed_witnesses(questions(s, d), node_view(s, d), edge_view(s, d), BUDGET)
+    return methods.routed_witnesses(questions(s, d), node_view(s, d), None, BUDGET)
 
 
 # context, metrics, statistics
