@@ -246,13 +246,6 @@ def edge_view(s: SparkSession, d: str) -> DataFrame:
     return graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n))
 
 
-def arc_view(s: SparkSession, d: str) -> DataFrame:
-    """The edges as they are made, not merged: enough where only neighbours count."""
-    n = node_view(s, d)
-    parts = [e.select("qid", "src", "dst", "weight") for e in (graph.adjacency(n), graph.entity_overlap(n, once=False), graph.title_mention(n))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query(f"WITH {NODES}, {ADJ} SELECT qid, src, dst FROM adj")
 def adjacency_edges(s: SparkSession, d: str) -> DataFrame:
     return graph.adjacency(node_view(s, d)).select("qid", "src", "dst")
