@@ -264,7 +264,7 @@ def title_mention_edges(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}, {EDGES} SELECT qid, src, dst, kinds, weight::DOUBLE AS weight FROM edges")
 def merged_edges(s: SparkSession, d: str) -> DataFrame:
-    return edge_view(s, d).select("qid", "src", "dst", "kinds", "weight")
+    return linked.merged_edges(node_view(s, d))
 
 
 TYPED = """typed AS (SELECT qid, src, dst, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT qid, src, dst, 'next' AS kind FROM adj UNION ALL SELECT qid, dst, src, 'previous' FROM adj
