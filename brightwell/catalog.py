@@ -353,7 +353,7 @@ vals AS (SELECT e.qid, e.path, es.e AS v FROM each e JOIN es ON es.qid = e.qid A
   UNION SELECT p.qid, p.path, a.e FROM steps p JOIN es a ON a.qid = p.qid AND a.node_ord = p.src JOIN es b ON b.qid = p.qid AND b.node_ord = p.dst AND a.e = b.e JOIN typed t ON t.qid = p.qid AND t.src = p.src AND t.dst = p.dst AND contains(t.kinds, 'entity_coreference'))
 SELECT e.qid, array_to_string(e.path, '-') AS path, md5(coalesce(string_agg(v, '|' ORDER BY encode(v)), '')) AS vals FROM each e LEFT JOIN vals USING (qid, path) GROUP BY 1, 2""")
 def path_grounding(s: SparkSession, d: str) -> DataFrame:
-    out = graph.grounded_values(*seed_paths(s, d))
+    out = linked.grounded_paths(methods.ranked(methods.scored(questions(s, d), node_view(s, d))), 3)
     return out.select("qid", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), F.md5(F.array_join("values", "|")).alias("vals"))
 
 
