@@ -305,9 +305,7 @@ def bfs_paths(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {NODES}{SCORED}, {EDGES}{SEEDS}{HOPS} SELECT r1.qid, r1.node_ord, count(p.node_ord)::BIGINT AS n, coalesce(md5(string_agg(CASE WHEN p.node_ord IS NOT NULL THEN a.dst END, ',' ORDER BY a.seq, a.dst)), md5('')) AS neighbours
 FROM r1 LEFT JOIN arcs a ON a.qid = r1.qid AND a.src = r1.node_ord LEFT JOIN r1 p ON p.qid = a.qid AND p.node_ord = a.dst GROUP BY 1, 2""")
 def pool_neighbours(s: SparkSession, d: str) -> DataFrame:
-    e = edge_view(s, d)
-    pool = graph.hops(e, methods.seeds(methods.scored(questions(s, d), node_view(s, d))), 1)
-    return graph.neighbours(e, pool).select("qid", "node_ord", F.size("neighbours").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",")).alias("neighbours"))
+    return linked.pool_neighbours(methods.ranked(methods.scored(questions(s, d), node_view(s, d))), 1)
 
 
 @query()

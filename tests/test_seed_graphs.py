@@ -33,3 +33,13 @@ def test_grounded_paths_equal_those_over_the_edge_table(spark, three):
     got = rows(linked.grounded_paths(ranked, 3))
     assert got == rows(graph.grounded_values(paths, e, n)) and any(len(r[1]) > 1 and r[2] for r in got)
     assert without_edges(catalog.path_grounding(spark, SF))
+
+
+@pytest.mark.parametrize("three", [False, True])
+def test_pool_neighbours_equal_those_over_the_edge_table(spark, three):
+    n, ranked, seeds = seeded(spark, three)
+    e = graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n)).cache()
+    want = graph.neighbours(e, graph.hops(e, seeds, 1)).select("qid", "node_ord", F.size("neighbours").cast("bigint"), F.md5(F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",")))
+    got = rows(linked.pool_neighbours(ranked, 1))
+    assert got == rows(want) and max(r[2] for r in got) > 5
+    assert without_edges(catalog.pool_neighbours(spark, SF))
