@@ -310,8 +310,7 @@ def pool_neighbours(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ppr_scores(s: SparkSession, d: str) -> DataFrame:
-    sc = methods.seeds(methods.scored(questions(s, d), node_view(s, d)))
-    out = graph.pagerank(edge_view(s, d), graph.restart_weights(sc))
+    out = linked.pagerank(methods.restarts(questions(s, d), node_view(s, d)))
     return graph.pool_normalised(out).withColumn("score", F.round("score", 6))
 
 

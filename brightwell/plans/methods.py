@@ -28,6 +28,15 @@ def scored(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.withColumn("semantic", overlap(F.col("qw"), F.col("sw"))).drop("qw", "sw")
 
 
+def restarts(questions: DataFrame, nodes: DataFrame, n: int = 5) -> DataFrame:
+    """All ``nodes``, also those of no question, the seeds with their ``restart`` (``graph.restart_weights``)."""
+    q = questions.select("qid", F.struct(words(F.col("question")).alias("w")).alias("q"))
+    s = nodes.join(q, "qid", "left")
+    s = s.withColumn("semantic", F.when(F.col("q").isNotNull(), overlap(F.col("q.w"), words(F.col("text"))))).drop("q")
+    s = ranked(s, n)
+    return graph.restart_weights(s.withColumn("seed", F.when(F.col("rank") <= n, F.col("semantic"))), "seed").drop("seed")
+
+
 def seeds(s: DataFrame, n: int = 5) -> DataFrame:
     w = W.partitionBy("qid").orderBy(F.desc("semantic"), "node_ord")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -37,7 +46,7 @@ def ranked(s: DataFrame, n: int = 5) -> DataFrame:
     """All sentences, the seeds among them with their ``rank``, as the searches of ``linked`` start from them."""
     w = W.partitionBy("qid").orderBy(F.desc("semantic"), "node_ord")
     place = F.row_number().over(w)
-    return s.withColumn("rank", F.when(place <= n, place))
+    return s.withColumn("rank", F.when((place <= n) & F.col("semantic").isNotNull(), place))
 
 
 def candidates(s: DataFrame) -> DataFrame:

@@ -43,3 +43,26 @@ def test_pool_neighbours_equal_those_over_the_edge_table(spark, three):
     got = rows(linked.pool_neighbours(ranked, 1))
     assert got == rows(want) and max(r[2] for r in got) > 5
     assert without_edges(catalog.pool_neighbours(spark, SF))
+
+
+@pytest.mark.parametrize("three", [False, True])
+def test_pagerank_equals_that_over_the_edge_table(spark, three):
+    n, _, _ = seeded(spark, three)
+    q = catalog.questions(spark, SF).filter("qid > 2")
+    view = (catalog.three_word_titles if three else catalog.node_view)(spark, SF)
+    seeds = graph.restart_weights(methods.seeds(methods.scored(q, view))).toDF(*methods.seeds(methods.scored(q, view)).columns, "restart")
+    want = rows(graph.pagerank(graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n)), seeds))
+    got = rows(linked.pagerank(methods.restarts(q, n)))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and {r[0] for r in got} >= {0, 1, 2, 3}
+    assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want))
+    assert without_edges(catalog.ppr_scores(spark, SF))
+
+
+def test_pagerank_without_links_in_memory(monkeypatch):
+    import test_edge_tables
+
+    q = test_edge_tables.question()
+    at, score = q.pagerank(0.85)
+    monkeypatch.setattr(linked, "HELD", 10), monkeypatch.setattr(linked, "CELLS", 130)
+    again, other = q.pagerank(0.85)
+    assert at.tolist() == again.tolist() and abs(score - other).max() < 1e-12
