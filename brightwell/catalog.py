@@ -273,7 +273,7 @@ TYPED = """typed AS (SELECT qid, src, dst, string_agg(DISTINCT kind, ',' ORDER B
 
 @query(f"WITH {NODES}, {OVERLAP}, {ADJ}, {MENTION}, {TYPED} SELECT * FROM typed")
 def typed_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.typed(node_view(s, d)).withColumn("kinds", F.array_join("kinds", ","))
+    return linked.typed_edges(node_view(s, d))
 
 
 SEEDS = ", seeds AS (SELECT qid, node_ord, semantic, row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, node_ord) AS rank FROM scored QUALIFY rank <= 5)"

@@ -66,3 +66,10 @@ def test_sentences_of_no_question_are_linked_in_their_passages(spark):
     want = graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n)).select("qid", "src", "dst", "kinds", "weight")
     key = lambda r: str(r)
     assert sorted(map(tuple, linked.merged_edges(n).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_typed_edges_without_joins(spark):
+    for n in views(spark):
+        got = rows(linked.typed_edges(n))
+        assert got == rows(graph.typed(n).withColumn("kinds", F.array_join("kinds", ","))) and got
+    assert shuffles(catalog.typed_edges(spark, SF)) == (1, 0)
