@@ -328,19 +328,11 @@ walks AS (SELECT qid, src, dst, [src] AS path, 0 AS hops FROM sp WHERE src = dst
 paths AS (SELECT *, row_number() OVER (PARTITION BY qid, src, dst ORDER BY hops, path) AS path_rank FROM walks QUALIFY path_rank <= 3)"""
 
 
-def seed_paths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n = node_view(s, d)
-    e = graph.typed(n)
-    seeds = methods.seeds(methods.scored(questions(s, d), n)).select("qid", F.col("node_ord").alias("src"))
-    pairs = seeds.join(seeds.select("qid", F.col("src").alias("dst")), "qid")
-    return graph.directed_paths(e, pairs, 2, 3), e, n
-
-
 @query(f"WITH {NODES}{SCORED}, {OVERLAP}, {ADJ}, {MENTION}, {TYPED}{SEEDS}, {_PAIRS2} SELECT qid, src, dst, hops, array_to_string(path, '-') AS path, path_rank::INT AS path_rank FROM paths")
 def typed_paths_k(s: SparkSession, d: str) -> DataFrame:
     """Up to 3 directed paths of at most 2 hops between any two seeds of a question."""
-    paths, _, _ = seed_paths(s, d)
-    return paths.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+    paths = linked.typed_paths(methods.ranked(methods.scored(questions(s, d), node_view(s, d))), 3)
+    return paths.select("qid", "src", "dst", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "hops", "path_rank")
 
 
 @query(f"""WITH {NODES}{SCORED}, {OVERLAP}, {ADJ}, {MENTION}, {TYPED}{SEEDS}, {_PAIRS2}, each AS (SELECT DISTINCT qid, path FROM paths),

@@ -66,3 +66,13 @@ def test_pagerank_without_links_in_memory(monkeypatch):
     monkeypatch.setattr(linked, "HELD", 10), monkeypatch.setattr(linked, "CELLS", 130)
     again, other = q.pagerank(0.85)
     assert at.tolist() == again.tolist() and abs(score - other).max() < 1e-12
+
+
+@pytest.mark.parametrize("three", [False, True])
+def test_typed_paths_equal_those_over_the_edge_table(spark, three):
+    n, ranked, seeds = seeded(spark, three)
+    ends = seeds.select("qid", F.col("node_ord").alias("src"))
+    want = graph.directed_paths(graph.typed(n), ends.join(ends.withColumnRenamed("src", "dst"), "qid"), 2, 3).select("qid", "src", "dst", "path", "hops", "path_rank")
+    got = rows(linked.typed_paths(ranked, 3))
+    assert got == rows(want) and {r[4] for r in got} == {0, 1, 2}
+    assert without_edges(catalog.typed_paths_k(spark, SF))
