@@ -317,9 +317,7 @@ def ppr_scores(s: SparkSession, d: str) -> DataFrame:
 @query()
 def document_paths_k(s: SparkSession, d: str) -> DataFrame:
     """Up to 3 shortest paths of at most 3 hops between all pairs of each question's seeds, over the whole document view."""
-    seeds = methods.seeds(methods.scored(questions(s, d), node_view(s, d))).select("qid", F.col("node_ord").alias("src")).distinct()
-    pairs = seeds.join(seeds.select("qid", F.col("src").alias("dst")), "qid").filter("src < dst")
-    return graph.simple_paths(edge_view(s, d), pairs, 3, 3)
+    return linked.simple_paths(methods.ranked(methods.scored(questions(s, d), node_view(s, d))), 3).select("qid", "src", "dst", "path", "hops", "path_rank")
 
 
 _PAIRS2 = """sp AS (SELECT a.qid, a.node_ord AS src, b.node_ord AS dst FROM seeds a JOIN seeds b ON a.qid = b.qid),

@@ -76,3 +76,15 @@ def test_typed_paths_equal_those_over_the_edge_table(spark, three):
     got = rows(linked.typed_paths(ranked, 3))
     assert got == rows(want) and {r[4] for r in got} == {0, 1, 2}
     assert without_edges(catalog.typed_paths_k(spark, SF))
+
+
+@pytest.mark.parametrize("three", [False, True])
+def test_simple_paths_equal_those_over_the_edge_table(spark, three):
+    n, ranked, seeds = seeded(spark, three)
+    ends = seeds.select("qid", F.col("node_ord").alias("src"))
+    pairs = ends.join(ends.withColumnRenamed("src", "dst"), "qid").filter("src < dst")
+    e = graph.merged(graph.adjacency(n), graph.entity_overlap(n), graph.title_mention(n))
+    want = graph.simple_paths(e, pairs, 3, 3).select("qid", "src", "dst", "path", "hops", "path_rank")
+    got = rows(linked.simple_paths(ranked, 3))
+    assert got == rows(want) and len({r[4] for r in got}) > 1
+    assert without_edges(catalog.document_paths_k(spark, SF))
