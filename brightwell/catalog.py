@@ -253,7 +253,7 @@ def adjacency_edges(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NODES}, {OVERLAP} SELECT * FROM eo")
 def entity_overlap_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.entity_overlap(node_view(s, d)).select("qid", "src", "dst")
+    return linked.overlap_edges(node_view(s, d))
 
 
 @query("WITH " + NODES.replace("source || '-' || doc_id AS title", "array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' ') AS title") + f", {MENTION} SELECT * FROM tm")

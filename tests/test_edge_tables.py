@@ -73,3 +73,10 @@ def test_typed_edges_without_joins(spark):
         got = rows(linked.typed_edges(n))
         assert got == rows(graph.typed(n).withColumn("kinds", F.array_join("kinds", ","))) and got
     assert shuffles(catalog.typed_edges(spark, SF)) == (1, 0)
+
+
+def test_overlap_edges_without_joins(spark):
+    for n in views(spark):
+        got = rows(linked.overlap_edges(n))
+        assert got == rows(graph.entity_overlap(n).select("qid", "src", "dst")) and got
+    assert shuffles(catalog.entity_overlap_edges(spark, SF)) == (1, 0)
