@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import certify, context, fusion, graph, linked, metrics, prompts, selection, verify
+from .operators import certify, context, fusion, graph, linked, metrics, nearest, prompts, selection, verify
 from .plans import methods, sweeps
 from .sources import multihop, reports
 
@@ -349,9 +349,7 @@ def path_grounding(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM (SELECT a.vec_id, b.vec_id AS near_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id)::INT AS place FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE place <= 5")
 def seed_topk_vectors(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings")
-    b = e.select("label", F.col("vec_id").alias("near_id"), F.col("embedding").alias("other"))
-    j = e.join(b, "label").filter("vec_id <> near_id").select("vec_id", "near_id", F.round(T.dot(F.col("embedding"), F.col("other")), 6).alias("score"))
+    j = nearest.candidates(table(s, d, "embeddings"), 5, 6).withColumn("score", F.round("score", 6))
     return j.withColumn("place", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("score"), "near_id"))).filter("place <= 5")
 
 
