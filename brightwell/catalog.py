@@ -259,7 +259,7 @@ def entity_overlap_edges(s: SparkSession, d: str) -> DataFrame:
 @query("WITH " + NODES.replace("source || '-' || doc_id AS title", "array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' ') AS title") + f", {MENTION} SELECT * FROM tm")
 def title_mention_edges(s: SparkSession, d: str) -> DataFrame:
     """A passage is called by its first three words, so that others mention it."""
-    return graph.title_mention(three_word_titles(s, d)).select("qid", "src", "dst")
+    return linked.mention_edges(three_word_titles(s, d))
 
 
 @query(f"WITH {NODES}, {EDGES} SELECT qid, src, dst, kinds, weight::DOUBLE AS weight FROM edges")

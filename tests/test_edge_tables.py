@@ -80,3 +80,18 @@ def test_overlap_edges_without_joins(spark):
         got = rows(linked.overlap_edges(n))
         assert got == rows(graph.entity_overlap(n).select("qid", "src", "dst")) and got
     assert shuffles(catalog.entity_overlap_edges(spark, SF)) == (1, 0)
+
+
+def test_mention_edges_without_joins(spark):
+    for n in views(spark):
+        assert rows(linked.mention_edges(n)) == rows(graph.title_mention(n).select("qid", "src", "dst"))
+    assert shuffles(catalog.title_mention_edges(spark, SF)) == (1, 0)
+
+
+def test_titles_by_shared_tokens_in_small_pieces(monkeypatch):
+    rng = random.Random(2)
+    bag = lambda n: rng.sample(["a", "bb", "ccc", "dddd", "eeeee", "ffffff", "ggggggg", "x1", "y2", "z3"], rng.randrange(n))
+    text, title = [bag(7) for _ in range(50)] + [None], [bag(4) for _ in range(30)] + [[]]
+    whole = linked.sharing(pa.array(text), pa.array(title))
+    monkeypatch.setattr(linked, "CHUNK", 40)
+    assert [x.tolist() for x in linked.sharing(pa.array(text), pa.array(title))] == [x.tolist() for x in whole]
